@@ -127,6 +127,52 @@ class Words:
         return self.raw[self.starts[k] : self.ends[k]].tobytes().decode("utf-8", "replace")
 
 
+class Pieces(Words):
+    """Words of ASCII and Latin-1 letters cut further into runs of letters, single digits and runs of others, with
+    letters of both cases hashed alike; words with an apostrophe or any other character stay whole."""
+
+    def __init__(self, arr: pa.Array):
+        raw, at = flat(arr)
+        n = len(raw)
+        self.raw, self.at, self.rows = raw, at, len(at) - 1
+        kind = _KIND[raw]
+        kind[np.flatnonzero((raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7)))] = 4  # signs, not letters
+        first = np.zeros(n + 1, dtype=bool)
+        first[at] = True
+        begins = kind != 0
+        begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2) | first[1:n]
+        odd = np.flatnonzero(kind == 4)
+        whole = np.zeros(0, np.int64)
+        if len(odd):
+            inside = np.diff(np.concatenate(([False], kind != 0, [False])).astype(np.int8))
+            starts = np.union1d(np.flatnonzero(inside == 1), at[:-1])
+            stops = np.append(np.flatnonzero(inside == -1), n)
+            whole = np.unique(starts[np.searchsorted(starts, odd, side="right") - 1])
+            ends = np.minimum(stops[np.searchsorted(stops, whole, side="right")], np.append(at, n)[np.searchsorted(at, whole, side="right")])
+            begins[ragged(whole, ends - whole)] = False
+            begins[whole] = True
+        stops = kind != 0
+        stops[:-1] &= (kind[1:] == 0) | begins[1:] | first[1:n]
+        self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+        self.row = np.searchsorted(at, self.starts, side="right") - 1
+        sums = np.zeros(n + 1, dtype=U64)
+        np.cumsum(_LATIN[raw] * _power(_BASE, "p", n), out=sums[1:])
+        lens = self.ends - self.starts
+        self.hash = mix((sums[self.ends] - sums[self.starts]) * _power(_BASE_INV, "i", n + 1)[self.starts] + lens.astype(U64) * U64(0xA0761D6478BD642F))
+        for k in np.union1d(np.searchsorted(self.starts, whole), np.flatnonzero(lens > LONG_WORD)):
+            self.hash[k] = xxhash.xxh3_64_intdigest(raw[self.starts[k] : self.ends[k]].tobytes())
+
+
+#: 0 space, 1 bytes of letters, 2 digit, 3 other, 4 what makes a word stay whole.
+_KIND = np.full(256, 4, dtype=np.uint8)
+_KIND[33:127] = 3
+_KIND[39] = 4
+_KIND[48:58] = 2
+_KIND[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = 1
+_KIND[SPACE] = 0
+_LATIN = _FOLDED.copy()
+_LATIN[0x80:0x9F] = _RAW[0xA0:0xBF]
+
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -193,7 +239,10 @@ class Memo:
             return np.zeros(0, np.int32), np.zeros(words.rows, np.int64)
         if len(self.keys) > self.most:
             self.clear()
-        uniq, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+        order = np.argsort(words.hash)
+        begins, lens = runs(words.hash[order])
+        first, inverse = order[begins], np.empty(len(order), np.int64)
+        uniq, inverse[order] = words.hash[first], np.repeat(np.arange(len(begins)), lens)
         at = np.searchsorted(self.keys, uniq)
         known = np.zeros(len(uniq), dtype=bool)
         inside = at < len(self.keys)

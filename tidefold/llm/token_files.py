@@ -26,13 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidefold.llm.columnar import Memo, Words, blocks
+from tidefold.llm.columnar import Memo, Pieces, blocks, ragged
 from tidefold.llm.shared import fresh_dir
 
 MAGIC, VERSION, BLOCK, SEGMENT = b"TFH1", 1, 1024, 1 << 20
-#: Texts of these characters alone have a known normal form and split; others go to the library as they are.
-PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]*")
-PIECES = re.compile(r"[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9]+")
+#: Pieces of these characters alone are what the tokenizer's split leaves; others go to the library as they are.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 
 class WordEncoder:
@@ -58,40 +57,41 @@ class WordEncoder:
         self.drops_space = self.cut
         self.bare = Tokenizer(self.whole.model)
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.pieces: dict[str, bytes] = {}
         self.memo = Memo(self._words)
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<i4") for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        if len(self.pieces) > 1_000_000:
-            self.pieces.clear()
-        for at in range(0, len(new), 256):
-            some = new[at : at + 256]
-            ids = np.array(self.bare.encode("\n".join(some), add_special_tokens=False).ids, dtype="<i4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(some) or not len(ids) or stops[-1] != len(ids):
-                self.pieces.update((p, a.tobytes()) for p, a in zip(some, self._plain(some)))
-                continue
-            wire, last = ids.tobytes(), 0
-            for p, e in zip(some, stops.tolist()):
-                self.pieces[p], last = wire[4 * last : 4 * e], e
-
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        split = [PIECES.findall(w.lower()) if PLAIN.fullmatch(w) else None for w in words]
-        fresh = dict.fromkeys(p for ps in split if ps for p in ps)
-        if len(self.pieces) + len(fresh) > 1_500_000:
-            self.pieces.clear()
-        self._learn([p for p in fresh if p not in self.pieces])
-        odd = [w for w, ps in zip(words, split) if ps is None]
-        rest = iter(self._plain(odd) if odd else [])
-        found = [next(rest).tobytes() if ps is None else b"".join([self.pieces[p] for p in ps]) for ps in split]
-        return np.frombuffer(b"".join(found), dtype="<i4"), np.array([len(b) // 4 for b in found], dtype=np.int64)
+        """Ids of words: pieces that the tokenizer's split leaves whole go to its model in groups, others alone."""
+        plain = np.array([PLAIN.fullmatch(w) is not None for w in words], dtype=bool)
+        pieces, ids, lens = [w.lower() for w, p in zip(words, plain.tolist()) if p], [], np.zeros(len(words), dtype=np.int64)
+        found = []
+        for at in range(0, len(pieces), 256):
+            some = pieces[at : at + 256]
+            got = np.array(self.bare.encode("\n".join(some), add_special_tokens=False).ids, dtype="<i4")
+            stops = np.flatnonzero(self.ends[got]) + 1
+            if len(stops) == len(some) and stops[-1] == len(got):
+                ids.append(got)
+                found.append(np.diff(stops, prepend=0))
+            else:
+                ids += (alone := self._plain(some))
+                found.append(np.array([len(x) for x in alone]))
+        if found:
+            lens[plain] = np.concatenate(found)
+        if plain.all():
+            return np.concatenate(ids), lens
+        odd = self._plain([w for w, p in zip(words, plain.tolist()) if not p])
+        lens[~plain] = [len(x) for x in odd]
+        pool, n = np.concatenate([*ids, *odd]), len(words)
+        at = np.empty(n, dtype=np.int64)
+        for mask, base in ((plain, 0), (~plain, sum(map(len, ids)))):
+            at[mask] = base + np.cumsum(lens[mask]) - lens[mask]
+        return pool[ragged(at, lens)], lens
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.drops_space:
-            return self.memo.tokens(Words(texts, fold=False))
+            return self.memo.tokens(Pieces(texts))
         ids = self._plain([t or "" for t in texts.to_pylist()])
         return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.array([len(x) for x in ids], dtype=np.int64)
 
