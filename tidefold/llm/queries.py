@@ -18,6 +18,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+def op5_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidefold.llm import near_dedup
+
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidefold.llm import byte_bpe
 
