@@ -6,11 +6,13 @@ Jaccard similarity. Bands of ``band_rows`` equal register values propose candida
 of greater, smaller and equal registers, given both set sizes, drops a pair only if similarity at the threshold is
 ``exp(CERTAIN)`` times less likely than the best estimate; what is left is decided on the full shingle sets.
 
-Texts of equal sets are one node, so exact copies cost nothing. Within a bucket no pairs are listed: one pivot is
-compared with all members outside its component, and further pivots (eight times as many each round) follow as
-long as the bucket has members of different components that were not pivots. A bucket is done when all those left
-belong to one component, since every other pair of texts in it was compared or joined through others. So no link
-that shares a bucket is lost, whatever the bucket's size.
+Texts of equal sets are one node, so exact copies cost nothing. No bucket's pairs are all listed. First its least
+node, the pivot, is compared with all other members, and components are formed. What is left are buckets whose
+members, the pivot aside, lie in several components: there every member outside the largest component is compared
+with all members of other components. In buckets of up to ``SMALL`` nodes these pairs are listed, each once for all
+buckets; in larger ones such members and all members are dealt out to blocks of bounded size, and each pair of
+blocks gives its intersections as one matrix product, of which only links come out. So no link that shares a
+bucket is lost, whatever the bucket's size, and no task holds more than two blocks.
 
 Null and empty texts have the empty set: no links, their own component. Documents of equal ids are judged by their
 texts; null ids link as others do, and a component's id is its least id that is not null. Other columns are unread.
@@ -25,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.columnar import U64, Shingles, Words, blocks, mix, overlap
+from tidefold.llm.columnar import U64, Shingles, Words, blocks, mix, overlap, runs
 from tidefold.llm.components import components
 from tidefold.llm.shared import written
 
-BASE, RATE, TOP, CERTAIN, GROWTH = 1.001, 20.0, 65535, 20.0, 8
+BASE, RATE, TOP, CERTAIN = 1.001, 20.0, 65535, 20.0
+#: Nodes of a small bucket; nodes and shingles of a block.
+SMALL, BLOCK_NODES, BLOCK_SHINGLES = 32, 512, 1 << 20
 _rng = np.random.default_rng(1511)
 _XOR = _rng.integers(0, 2**63, 1024, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _MUL = _rng.integers(0, 2**63, 1024, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -87,6 +91,25 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows).tobytes())]).cast(pa.binary())
 
 
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every set of a with every set of b."""
+    both = [*a, *b]
+    values = np.concatenate(both)
+    row = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    order = np.argsort(values)
+    starts, lens = runs(values[order])
+    column = np.repeat(np.cumsum(lens > 1) - 1, lens)
+    keep = np.repeat(lens > 1, lens)  # what one set alone has is in no intersection
+    row, column = row[order][keep], column[keep]
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, (at, at + width))
+        m = np.zeros((len(both), width), dtype=np.float32)
+        m[row[lo:hi], column[lo:hi] - at] = 1
+        out += m[: len(a)] @ m[len(a) :].T
+    return out
+
+
 def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, registers: int = 128, band_rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id_col (long), n_shingles, component_id, kept (id = component_id), n_copies of its
     very shingle set.
@@ -118,7 +141,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, register
 
     banded = nodes.select("node", "sketch").mapInArrow(band, "key long, node binary")
     shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = written(banded.join(shared, "key"), "members").withColumn("used", F.lit(False))
+    members = written(banded.join(shared, "key"), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "row"), "node").select("row").distinct()
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,39 +171,55 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, register
 
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su"), F.col("sketch").alias("ku"))
     right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"), F.col("sketch").alias("kv"))
-    label: DataFrame | None = None
-    pivots = 1
-    while True:
-        now = members.withColumn("comp", F.col("node")) if label is None else members.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_ = now.where("not used").groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("key")
-        now = written(now.join(open_, "key"), "open")
-        if now.isEmpty():
-            break
-        salt = F.pmod(F.xxhash64("node"), F.lit(pivots))
-        chosen = now.where("not used").groupBy("key", salt.alias("salt")).agg(F.min("node").alias("v")).select("key", "v")
-        chosen = written(chosen.join(now.select("key", F.col("node").alias("v"), F.col("comp").alias("to")), ["key", "v"]), "pivots")
-        pairs = now.join(chosen, "key").where("comp != to").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
-        links = written(pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv", "ku", "kv").mapInArrow(verify, "u binary, v binary"), "links")
-        if label is None:
-            label = written(components(links).select("node", F.col("component").alias("comp")), "labels")
-        else:
-            of = label.select(F.col("node").alias("u"), F.col("comp").alias("cu"))
-            to = label.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
-            joined = links.join(of, "u", "left").join(to, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-            more = written(components(joined).select(F.col("node").alias("comp"), F.col("component").alias("least")), "merged")
-            old = label.join(more, "comp", "left").select("node", F.coalesce("least", "comp").alias("comp"))
-            new = more.join(label.select(F.col("node").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("node"), F.col("least").alias("comp"))
-            label = written(old.union(new), "labels")
-        members = now.drop("comp").join(chosen.select("key", F.col("v").alias("node"), F.lit(True).alias("pivot")), ["key", "node"], "left").select("key", "node", (F.col("used") | F.col("pivot").isNotNull()).alias("used"))
-        members = written(members, "members")
-        pivots *= GROWTH
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv", "ku", "kv").mapInArrow(verify, "u binary, v binary")
+
+    def pair(x: str, y: str) -> list:
+        return [F.greatest(x, y).alias("u"), F.least(x, y).alias("v")]
+
+    pivots = members.groupBy("key").agg(F.min("node").alias("pivot"))
+    aimed = members.join(pivots, "key").where("node != pivot")
+    label = written(components(linked(aimed.select(*pair("node", "pivot")).distinct())).select("node", F.col("component").alias("comp")), "labels")
+
+    now = aimed.select("key", "node").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    parts = now.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    open_ = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("size"), F.count("*").alias("n_comps")).where("n_comps > 1")
+    rest = written(now.join(open_.select("key", "size", F.col("top.comp").alias("main")), "key").withColumn("alone", F.col("comp") != F.col("main")), "open")
+    few = rest.where(F.col("size") <= SMALL)
+    alone = few.where("alone").select("key", F.col("node").alias("other"), F.col("comp").alias("to"))
+    listed = few.join(alone, "key").where("comp != to").select(*pair("node", "other")).distinct()
+
+    many = rest.where(F.col("size") > SMALL).join(sets.select("node", "shingles"), "node")
+    span = many.groupBy("key").agg(*(F.greatest(F.lit(1), F.ceil(F.sum(F.when(x, 1)) / BLOCK_NODES), F.ceil(F.sum(F.when(x, F.octet_length("shingles"))) / (8 * BLOCK_SHINGLES))).cast("int").alias(n) for x, n in ((F.col("alone"), "a"), (F.lit(True), "m"))))
+    dealt = many.select("key", "node", "comp", "alone", "shingles").join(span, "key")
+    of = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    sides = dealt.where("alone").select("key", of("a", 1).alias("x"), every("m").alias("y"), F.lit(True).alias("first"), "comp", "shingles").union(dealt.select("key", every("a").alias("x"), of("m", 2).alias("y"), F.lit(False), "comp", "shingles"))
+
+    def block(t: pa.Table) -> pa.Table:
+        first, comp = np.array(t.column("first").to_pylist(), dtype=bool), np.array(t.column("comp").to_pylist(), dtype=object)
+        own = [np.frombuffer(x, dtype=U64) for x in t.column("shingles").to_pylist()]
+        a, b = np.flatnonzero(first), np.flatnonzero(~first)
+        found: set[tuple[bytes, bytes]] = set()
+        if len(a) and len(b):
+            n = np.array([len(x) for x in own], dtype=np.int64)
+            same = shared_counts([own[k] for k in a], [own[k] for k in b]).astype(np.int64)
+            i, j = np.nonzero(100 * same >= percent * (n[a][:, None] + n[b][None, :] - same))
+            found = {(x, y) if x > y else (y, x) for x, y in zip(comp[a[i]], comp[b[j]]) if x != y}
+        return pa.table({"u": pa.array([x[0] for x in found], pa.binary()), "v": pa.array([x[1] for x in found], pa.binary())})
+
+    late = linked(listed).union(sides.groupBy("key", "x", "y").applyInArrow(block, "u binary, v binary").distinct())
+    of_u = label.select(F.col("node").alias("u"), F.col("comp").alias("cu"))
+    of_v = label.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
+    joined = late.join(of_u, "u", "left").join(of_v, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    more = written(components(joined).select(F.col("node").alias("comp"), F.col("component").alias("least")), "merged")
+    old = label.join(more, "comp", "left").select("node", F.coalesce("least", "comp").alias("comp"))
+    new = more.join(label.select(F.col("node").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("node"), F.col("least").alias("comp"))
+    label = written(old.union(new), "labels")
     found = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
-    if label is not None:
-        found = found.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        least = found.groupBy("comp").agg(F.min("least").alias("component_id"))
-        found = found.join(least, "comp").select("node", "component_id", "n_copies")
-    else:
-        found = found.withColumnRenamed("least", "component_id")
+    found = found.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    found = found.join(found.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "component_id", "n_copies")
     out = rows.where("n > 0").select("doc_id", "n", "node").join(found, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_copies")
     out = out.union(rows.where("n = 0").select("doc_id", F.lit(0).cast("long"), "doc_id", F.lit(1).cast("long")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
