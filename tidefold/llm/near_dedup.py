@@ -110,23 +110,22 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -
     return out
 
 
-def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, registers: int = 128, band_rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: id_col (long), n_shingles, component_id, kept (id = component_id), n_copies of its
-    very shingle set.
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.withColumn("_hash", F.xxhash64(text_col)).withColumn("_row", F.coalesce(F.col(id_col).cast("long"), "_hash"))
 
-    Texts are linked when 100 * intersection >= percent * union of their sets of word n-grams. At 80 percent, 32
-    bands of 4 registers miss a link with a probability of 5e-8.
-    """
-    thin = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    thin = thin.withColumn("row", F.coalesce("doc_id", F.xxhash64("text")))
+
+def grouped(df: DataFrame, shingle: int, percent: int, registers: int = 128, band_rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, row, hash, n, node) of all documents, and (node, comp, component_id, n_copies) of all nodes."""
+    keyed = _keyed(df.select(df[id_col], df[text_col]), id_col, text_col)
+    thin = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col("_row").alias("row"), F.col("_hash").alias("hash"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
-            s = Shingles(Words(b.column(2), fold=True), shingle)
+            s = Shingles(Words(b.column(3), fold=True), shingle)
             node, _ = _node(s)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s.sizes), _binary(node), _binary(sketches(s, registers))], ["doc_id", "row", "n", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(s.sizes), _binary(node), _binary(sketches(s, registers))], ["doc_id", "row", "hash", "n", "node", "sketch"])
 
-    rows = written(thin.select("doc_id", "row", "text").mapInArrow(sketch, "doc_id long, row long, n long, node binary, sketch binary"), "sketches")
+    rows = written(thin.select("doc_id", "row", "hash", "text").mapInArrow(sketch, "doc_id long, row long, hash long, n long, node binary, sketch binary"), "sketches")
     nodes = written(rows.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "nodes")
     bands = registers // band_rows
 
@@ -219,7 +218,28 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, register
     label = written(old.union(new), "labels")
     found = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
     found = found.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    found = found.join(found.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "component_id", "n_copies")
+    found = found.join(found.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "comp", "component_id", "n_copies")
+    return rows, found
+
+
+def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document: doc_id (long), n_shingles, component_id, kept (id = component_id), n_copies of its
+    very shingle set.
+
+    Texts are linked when 100 * intersection >= percent * union of their sets of word n-grams. At 80 percent, 32
+    bands of 4 registers miss a link with a probability of 5e-8.
+    """
+    rows, found = grouped(df, shingle, percent, id_col=id_col, text_col=text_col)
     out = rows.where("n > 0").select("doc_id", "n", "node").join(found, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_copies")
     out = out.union(rows.where("n = 0").select("doc_id", F.lit(0).cast("long"), "doc_id", F.lit(1).cast("long")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def deduplicated(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The frame with one document of each group: the one of least id, null ids last. Texts without words stay."""
+    rows, found = grouped(df, shingle, percent, id_col=id_col, text_col=text_col)
+    first = rows.where("n > 0").join(found.select("node", "comp"), "node").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), "row", "hash")).alias("m"))
+    keep = first.select(F.col("m.row").alias("_row"), F.col("m.hash").alias("_hash"))
+    wordless = F.coalesce(~F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"), F.lit(True))
+    chosen = _keyed(df.where(~wordless), id_col, text_col).join(keep, ["_row", "_hash"], "left_semi").dropDuplicates(["_row", "_hash"])
+    return chosen.drop("_row", "_hash").union(df.where(wordless))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidefold.llm.shared import fresh_dir, table
 
@@ -18,6 +19,34 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidefold.llm import decontaminate
+
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: The rules of the query's contract.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document whose number ends its path: bad if of low quality or toxic."""
+    from tidefold.llm import url_filter
+
+    pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
+    number = F.regexp_extract("url", r"/([0-9]{1,18})(?:\.html|/)?(?:[?#].*)?$", 1)
+    shown = pages.select("url", F.when(number != "", number.cast("long")).alias("doc_id"))
+    labelled = shown.join(labels, "doc_id").select("url", F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
+    return url_filter.judge(pages, URL_RULES, url_filter.fit(labelled))
+
+
+def op4_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidefold.llm import preference
+
+    turns = table(spark, sf_dir, "conversations")
+    return preference.format_pairs(turns, preference.answered_by_next(turns), "conv_id")
+
+
 def op5_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidefold.llm import near_dedup
 
@@ -30,9 +59,38 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidefold.llm import license_scan
+
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidefold.llm import language
+
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs.where(~language.held_out())))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidefold.llm import repetition
+
+    return repetition.judge(table(spark, sf_dir, "documents"))
+
+
+def op10_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidefold.llm import slots
+
+    records, path = slots.measured(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "virtual_slot"), fresh_dir(spark, "slot-map")
+    placed = slots.assign(records, path, slots.plan(records, path, 16))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tidefold.llm import license_scan, preference
+
+    return {"op4_preference": preference.ORACLE, "op7_license_scan": license_scan.oracle()}

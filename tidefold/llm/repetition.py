@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidefold.llm.columnar import SPACE, U64, Words, _power, blocks, grams, mix, runs
+from tidefold.llm.columnar import _BASE, _BASE_INV, _RAW, SPACE, U64, Words, _power, blocks, grams, mix, runs
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -33,8 +33,8 @@ class Rules:
     least_words: int = 50
     repeat_percent: int = 50
     min_words: int = 8
-    max_covered: float = 0.5
-    max_repeat: float = 0.3
+    max_covered: float = 0.4
+    max_repeat: float = 0.25
 
 
 def suffix_array(row: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -133,13 +133,9 @@ def measure(texts: pa.Array, rules: Rules) -> dict[str, np.ndarray]:
         cover = np.concatenate(([0], np.cumsum(~space)))
         solid = np.flatnonzero((ends > starts) & (cover[ends] > cover[starts]))
         s, e = starts[solid], ends[solid]
-        line = Words.__new__(Words)
-        from tidefold.llm.columnar import _BASE, _BASE_INV, _RAW
-
         sums = np.zeros(len(raw) + 1, dtype=U64)
         np.cumsum(_RAW[raw] * _power(_BASE, "p", len(raw)), out=sums[1:])
         row = np.searchsorted(at, s, side="right") - 1
-        del line
         key = mix(mix((sums[e] - sums[s]) * _power(_BASE_INV, "i", len(raw) + 1)[s] + (e - s).astype(U64)) ^ mix(row.astype(U64) + U64(1)))
         order = np.argsort(key)
         begins, lens = runs(key[order])
