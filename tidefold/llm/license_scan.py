@@ -63,8 +63,13 @@ def _minima(shingles: str, every_word: bool) -> Column:
 
 
 def _window_minima(s: Column, starts: Column, length: int, band: int) -> Column:
-    values = F.transform(s, lambda x: F.xxhash64(x, F.lit(band)))
-    return F.transform(starts, lambda k: F.array_min(F.slice(values, k, length)))
+    return F.transform(starts, lambda k: F.array_min(F.transform(F.slice(s, k, length), lambda x: F.xxhash64(x, F.lit(band)))))
+
+
+def _once(value: Column) -> Column:
+    """The value as a generated column: the optimizer would copy a projected one into filters and lambdas above it
+    and so compute it again for every element."""
+    return F.explode(F.array(value))
 
 
 def _longs(values: list[int]) -> Column:
@@ -75,14 +80,15 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, containment: floa
     """One row for each text and template found in it: id_col, license, template_shingles, shared_shingles."""
     spark: SparkSession = df.sparkSession
     given = spark.range(1, numPartitions=1).select(F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.lit(v).alias("text")) for k, v in templates.items()))).alias("t")).select("t.*")
-    given = given.withColumn("h", _shingles("text")).withColumn("s", _combined("h")).withColumn("bands", _minima("s", True)).select("name", F.array_distinct("s").alias("s"), "bands").where(F.size("s") > 0).collect()
+    given = given.select("name", _once(_shingles("text")).alias("h")).select("name", _once(_combined("h")).alias("s"))
+    given = given.where(F.size("s") > 0).select("name", "s", _once(_minima("s", True)).alias("bands")).select("name", F.array_distinct("s").alias("s"), "bands").collect()
     if not given:
         return df.limit(0).select(F.col(id_col).cast("long").alias(id_col), F.lit("").alias("license"), F.lit(0).alias("template_shingles"), F.lit(0).alias("shared_shingles"))
     all_shingles, all_bands = _longs(sorted({x for t in given for x in t.s})), _longs(sorted({x for t in given for x in t.bands}))
     known = F.array(*(F.struct(F.lit(t.name).alias("name"), _longs(t.s).alias("s"), _longs(t.bands).alias("bands")) for t in given))
-    rows = df.select(F.col(id_col).cast("long").alias(id_col), _shingles(text_col).alias("h")).select(id_col, _combined("h").alias("s"))
+    rows = df.select(F.col(id_col).cast("long").alias(id_col), _once(_shingles(text_col)).alias("h")).select(id_col, _once(_combined("h")).alias("s"))
     rows = rows.where(F.arrays_overlap("s", all_shingles))
-    rows = rows.select(id_col, "s", F.array_intersect(_minima("s", False), all_bands).alias("hits")).where(F.size("hits") > 0)
+    rows = rows.select(id_col, "s", _once(F.array_intersect(_minima("s", False), all_bands)).alias("hits")).where(F.size("hits") > 0)
     rows = rows.select(id_col, "s", F.explode(F.filter(known, lambda t: F.arrays_overlap(t.bands, F.col("hits")))).alias("t"))
     rows = rows.select(id_col, F.col("t.name").alias("license"), F.size("t.s").alias("template_shingles"), F.size(F.array_intersect("t.s", "s")).alias("shared_shingles"))
     return rows.where(F.col("shared_shingles") >= containment * F.col("template_shingles") - 1e-9)
@@ -91,8 +97,8 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, containment: floa
 def oracle(templates: dict[str, str] = TEMPLATES) -> str:
     """Plain SQL for the same result: every text's shingles against every template's."""
     values = ", ".join(f"('{k}', '" + v.replace("'", "''") + "')" for k, v in templates.items())
-    cut = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), w -> w <> '')".format
-    grams = "CASE WHEN len(w) >= 5 THEN list_transform(generate_series(1, len(w) - 4), i -> array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
+    cut = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')".format
+    grams = "CASE WHEN len(w) >= 5 THEN list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
     return f"""
 WITH t AS (SELECT name, unnest(list_distinct(g)) AS g, len(list_distinct(g)) AS n FROM (SELECT name, {grams} AS g FROM (SELECT name, {cut(low('text'))} AS w FROM (VALUES {values}) v(name, text)))),
