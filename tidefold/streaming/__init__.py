@@ -1,0 +1 @@
+"""The engine has no unbounded inputs: compaction is a batch of finite jobs, so nothing is built here."""
