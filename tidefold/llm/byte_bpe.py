@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from tidefold.llm.columnar import Memo, Words, blocks, flat, ragged
+from tidefold.llm.shared import lean
 
 LONG = 1024
 NONE = np.uint32(0xFFFFFFFF)
@@ -195,7 +196,7 @@ def encode_decode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(rank_file, pattern)
-        for b in blocks(batches, "_t"):
+        for b in blocks(batches, "_t", 4 << 20):
             ids, counts = bpe.encode(b.column(1))
             raw, sizes = bpe.decode(ids, counts)
             wire, text = ids.astype("<u4").tobytes(), raw.tobytes()
@@ -210,7 +211,7 @@ def encode_decode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "do
                 names.append("decoded")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return df.select(df[id_col].cast("long").alias("_i"), df[text_col].alias("_t")).mapInArrow(run, schema)
+    return lean(df).select(df[id_col].cast("long").alias("_i"), df[text_col].alias("_t")).mapInArrow(run, schema)
 
 
 __all__ = ["ByteBPE", "encode_decode", "encoder", "flat"]

@@ -58,18 +58,30 @@ def flat(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Split batches into runs of rows with about ``most`` bytes of text each (one row at least)."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        _, at = flat(batch.column(batch.schema.get_field_index(column)))
+def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Join and split batches into runs of rows with about ``most`` bytes of text each (one row at least)."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def joined() -> Iterator[pa.RecordBatch]:
+        whole = held[0] if len(held) == 1 else pa.concat_batches(held)
+        _, at = flat(whole.column(whole.schema.get_field_index(column)))
         row = 0
-        while row < batch.num_rows:
+        while row < whole.num_rows:
             end = max(row + 1, int(np.searchsorted(at, at[row] + most, side="right")) - 1)
-            yield batch.slice(row, end - row)
+            yield whole.slice(row, end - row)
             row = end
 
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += int(flat(batch.column(batch.schema.get_field_index(column)))[1][-1])
+            if size >= most:
+                yield from joined()
+                held, size = [], 0
+    if held:
+        yield from joined()
+
 
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Indexes starts[0] .. starts[0]+lens[0]-1, starts[1] .. and so on, concatenated."""

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidefold.llm.columnar import U64, Shingles, Words, blocks, grams, overlap
+from tidefold.llm.shared import lean
 
 HASHES, BASE, TINY, BLOCK_BYTES = 96, 8, 4, 16 << 20
 _rng = np.random.default_rng(96)
@@ -142,7 +143,7 @@ def _item_blocks(items: DataFrame, item_col: str, text_col: str, shingle: int) -
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, containment: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id_col, item_col, item_shingles, shared_shingles) of each document and item it contains."""
-    thin = docs.select(docs[id_col].cast("long").alias("_i"), docs[text_col].alias("_t"))
+    thin = lean(docs).select(docs[id_col].cast("long").alias("_i"), docs[text_col].alias("_t"))
     schema = f"{id_col} long, {item_col} long, item_shingles long, shared_shingles long"
 
     def search(items: Items):  # noqa: ANN202
@@ -171,5 +172,5 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, containment: float = 0.8
                 clean[[r for r, _, _ in _matches(items, b.column(b.schema.get_field_index(text_col)), containment)]] = False
                 yield b.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = lean(docs).mapInArrow(run, docs.schema)
     return docs

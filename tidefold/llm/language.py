@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidefold.llm.columnar import blocks, runs
+from tidefold.llm.shared import lean
 
 TOP, UNKNOWN = 300, "und"
 
@@ -97,7 +98,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Prof
         for lang, (codes, n) in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
-    known = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
+    known = lean(rows).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
     counts = known.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     tops = defaultdict(list)
@@ -119,7 +120,7 @@ def predict(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col:
             got = [profiles.predict(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [id_col, "held_out", "lang_pred", "score"])
 
-    return df.select(df[id_col].cast("long").alias("_i"), held_out(id_col).alias("_h"), df[text_col].alias("_t")).mapInArrow(run, f"{id_col} long, held_out boolean, lang_pred string, score double")
+    return lean(df).select(df[id_col].cast("long").alias("_i"), held_out(id_col).alias("_h"), df[text_col].alias("_t")).mapInArrow(run, f"{id_col} long, held_out boolean, lang_pred string, score double")
 
 
 def keep(df: DataFrame, profiles: Profiles, least_score: float = 0.05, text_col: str = "text") -> DataFrame:
@@ -130,4 +131,4 @@ def keep(df: DataFrame, profiles: Profiles, least_score: float = 0.05, text_col:
             got = [profiles.predict(t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
             yield b.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in got]))
 
-    return df.mapInArrow(run, df.schema)
+    return lean(df).mapInArrow(run, df.schema)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidefold.llm.columnar import U64, Shingles, Words, blocks, mix, overlap, runs
 from tidefold.llm.components import components
-from tidefold.llm.shared import written
+from tidefold.llm.shared import lean, written
 
 BASE, RATE, TOP, CERTAIN = 1.001, 20.0, 65535, 20.0
 #: Nodes of a small bucket; nodes and shingles of a block.
@@ -116,7 +116,7 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def grouped(df: DataFrame, shingle: int, percent: int, registers: int = 128, band_rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, row, hash, n, node) of all documents, and (node, comp, component_id, n_copies) of all nodes."""
-    keyed = _keyed(df.select(df[id_col], df[text_col]), id_col, text_col)
+    keyed = _keyed(lean(df).select(df[id_col], df[text_col]), id_col, text_col)
     thin = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col("_row").alias("row"), F.col("_hash").alias("hash"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

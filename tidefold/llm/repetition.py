@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidefold.llm.shared import lean
 from tidefold.llm.columnar import _BASE, _BASE_INV, _RAW, SPACE, U64, Words, _power, blocks, grams, mix, runs
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -167,7 +168,7 @@ def judge(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_co
             m = measure(b.column(1), rules)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v) for v in m.values())], [id_col, *m])
 
-    return df.select(df[id_col].cast("long").alias("_i"), df[text_col].alias("_t")).mapInArrow(run, f"{id_col} long, {SCHEMA}")
+    return lean(df).select(df[id_col].cast("long").alias("_i"), df[text_col].alias("_t")).mapInArrow(run, f"{id_col} long, {SCHEMA}")
 
 
 def keep(df: DataFrame, rules: Rules = Rules(), text_col: str = "text") -> DataFrame:
@@ -177,4 +178,4 @@ def keep(df: DataFrame, rules: Rules = Rules(), text_col: str = "text") -> DataF
         for b in blocks(batches, text_col):
             yield b.filter(pa.array(measure(b.column(b.schema.get_field_index(text_col)), rules)["kept"]))
 
-    return df.mapInArrow(run, df.schema)
+    return lean(df).mapInArrow(run, df.schema)

@@ -41,7 +41,11 @@ def dropped(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """Small Arrow batches keep memory flat however long single texts are; operators join them where that pays."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Small Arrow batches keep Python workers' memory flat however long single texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidefold.llm.columnar import Memo, Pieces, blocks, ragged
-from tidefold.llm.shared import fresh_dir
+from tidefold.llm.shared import dropped, fresh_dir, lean
 
 MAGIC, VERSION, BLOCK, SEGMENT = b"TFH1", 1, 1024, 1 << 20
 #: Pieces of these characters alone are what the tokenizer's split leaves; others go to the library as they are.
@@ -196,13 +196,13 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, limit: int
     The texts are tokenised once, into a table of packed ids that also holds every task's counts of ids (so a task
     that runs again counts once); the global counts give the code; the packed ids alone are shuffled into order.
     """
-    spark = df.sparkSession
+    spark = lean(df).sparkSession
     tokens = fresh_dir(spark, "tokens")
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, zip_ = word_encoder(tokenizer), zstandard.ZstdCompressor(3)
         total = np.zeros(max(encoder.size, end_id + 1), dtype=np.int64)
-        for b in blocks(batches, "_t"):
+        for b in blocks(batches, "_t", 4 << 20):
             ids, counts = encoder.encode(b.column(1))
             ends = np.cumsum(counts)
             out = np.insert(ids, ends, end_id)
@@ -259,8 +259,6 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, limit: int
     ordered = packed.where("not is_count").select("doc_id", "n", "ids").withColumn("tie", F.xxhash64("ids"))
     ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     ordered.mapInArrow(pack, "part int, offset long, n_tokens long, n_docs long, payload binary").write.option("compression", "none").parquet(f"{path}/segments")
-    from tidefold.llm.shared import dropped
-
     dropped(spark, tokens)
     parts = spark.read.parquet(f"{path}/segments").groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
     # One row for each task of the shuffle above.

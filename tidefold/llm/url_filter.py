@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidefold.llm.shared import lean
+
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -171,4 +173,4 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], model: UrlModel, block
             verdict = [v or ("block" if s >= block_at else "allow") for (_, v), s in zip(found, score.tolist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p[0] for p in parts], pa.string()), pa.array([p[1] for p in parts], pa.string()), pa.array([f[0] for f in found], pa.string()), pa.array(verdict, pa.string()), pa.array(score, pa.float64())], [id_col, "host", "path", "rule", "verdict", "score"])
 
-    return pages.select(F.col(id_col).cast("long").alias("_i"), F.col(url_col).alias("_u")).mapInArrow(run, f"{id_col} long, host string, path string, rule string, verdict string, score double")
+    return lean(pages).select(F.col(id_col).cast("long").alias("_i"), F.col(url_col).alias("_u")).mapInArrow(run, f"{id_col} long, host string, path string, rule string, verdict string, score double")
