@@ -14,6 +14,7 @@ share of bad labels (0 without labels). Scoring is a map step; other columns are
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tidefold.llm.shared import lean
 
+FOLDS = 5
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -62,6 +64,7 @@ class SuffixStatistics:
         self.weight, self.prior = weight, float(bad.mean()) if len(bad) else 0.0
         self.bad: Counter[str] = Counter()
         self.all: Counter[str] = Counter()
+        self.total = len(urls)
         for u, y in zip(urls, bad.tolist()):
             for s in self.suffixes(host_path(u)[0]):
                 self.bad[s] += int(y)
@@ -72,22 +75,21 @@ class SuffixStatistics:
         labels = host.split(".")
         return [labels[-1], ".".join(labels[-2:])]
 
-    def features(self, host: str, own: int | None) -> list[float]:
-        """Rates and counts; ``own`` is a training url's label, which is left out."""
+    def features(self, host: str) -> list[float]:
+        """Smoothed rates, and counts as a share of all labelled urls."""
         out = []
         for s in self.suffixes(host):
-            n, b = self.all[s] - (own is not None), self.bad[s] - (own or 0)
-            out += [(b + self.weight * self.prior) / (n + self.weight), math.log1p(n)]
+            out += [(self.bad[s] + self.weight * self.prior) / (self.all[s] + self.weight), self.all[s] / max(1, self.total)]
         return out
 
 
-def features(url: str | None, stats: SuffixStatistics, own: int | None = None) -> list[float]:
+def features(url: str | None, stats: SuffixStatistics) -> list[float]:
     u = url or ""
     host, path = host_path(u)
     n = max(len(u), 1)
     counts = Counter(u)
     query = _cut(u.partition("?")[2], "#")
-    return [len(u), path.count("/"), sum(c.isdigit() for c in u) / n, -sum(c / n * math.log2(c / n) for c in counts.values()), sum(bool(p) for p in query.split("&")), len(host), host.count("."), host.count("-"), len(path), sum(c.isdigit() for c in host), *stats.features(host, own)]
+    return [len(u), path.count("/"), sum(c.isdigit() for c in u) / n, -sum(c / n * math.log2(c / n) for c in counts.values()), sum(bool(p) for p in query.split("&")), len(host), host.count("."), host.count("-"), len(path), sum(c.isdigit() for c in host), *stats.features(host)]
 
 
 class BoostedTrees:
@@ -147,7 +149,10 @@ class UrlModel:
     def __init__(self, urls: list[str], bad: list[int]):
         y = np.array(bad, dtype=np.float64)
         self.stats = SuffixStatistics(urls, y)
-        x = np.array([features(u, self.stats, int(b)) for u, b in zip(urls, bad)], dtype=np.float64) if urls else np.zeros((0, 14))
+        # A training url's suffix statistics come from the other folds, so its own label is not among its features.
+        fold = np.array([zlib.crc32(u.encode()) % FOLDS for u in urls], dtype=np.int64)
+        others = [SuffixStatistics([u for u, f in zip(urls, fold) if f != k], y[fold != k]) for k in range(FOLDS)]
+        x = np.array([features(u, others[f]) for u, f in zip(urls, fold)], dtype=np.float64) if urls else np.zeros((0, 14))
         self.trees = BoostedTrees(x, y)
 
     def score(self, urls: list[str | None]) -> np.ndarray:
