@@ -8,7 +8,8 @@ version. Only the map, of SLOTS rows whatever the input, passes through the driv
 A record's place in its shard is the number of records in the shard's earlier slots plus its place in its own
 slot (in order of id, then checksum and size), so no task sorts a whole shard. Null texts have no bytes, null ids
 hash like a value of their own; equal rows share a slot in any order; an empty table has a map and no rows. Only
-DataFrame functions touch the records; other columns stay with them in ``assign``.
+DataFrame functions touch the records; other columns stay with them in ``assign``, but for those named like the
+operator's own results (text_crc32, size, virtual_slot, shard, slot), which are replaced.
 """
 
 from __future__ import annotations
@@ -104,8 +105,10 @@ def plan(records: DataFrame, path: str, shards: int, slots: int = SLOTS) -> int:
 def assign(records: DataFrame, path: str, version: int, id_col: str = "doc_id") -> DataFrame:
     """Measured records with their shard and slot (place in the shard, from 0 without gaps)."""
     own = Window.partitionBy("virtual_slot").orderBy(id_col, "text_crc32", "size")
-    placed = records.withColumn("_own", F.row_number().over(own))
-    return placed.join(F.broadcast(load(records.sparkSession, path, version)), "virtual_slot").withColumn("slot", F.col("first") + F.col("_own") - 1).drop("_own", "first")
+    placed = records.drop("shard", "slot").withColumn("_own", F.row_number().over(own))
+    where = load(records.sparkSession, path, version).select("virtual_slot", F.struct("shard", "first").alias("_place"))
+    placed = placed.join(F.broadcast(where), "virtual_slot")
+    return placed.withColumn("shard", F.col("_place.shard")).withColumn("slot", F.col("_place.first") + F.col("_own") - 1).drop("_own", "_place")
 
 
 def write_shards(records: DataFrame, path: str) -> None:
