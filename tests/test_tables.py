@@ -2,13 +2,17 @@ import duckdb
 import pytest
 
 from tidefold import queries as q
-from tidefold.config import ExecutionConfig, PlanningConfig, SortColumn, Strategy
-from tidefold.errors import ConflictError, SerializationError
+from tidefold.config import CommitMode, ExecutionConfig, PlanningConfig, SortColumn, Strategy
+from tidefold.errors import ConfigError, ConflictError, PlanningError, ResourceExhausted, SerializationError
 from tidefold.functions.metrics import Metrics, space_savings
 from tidefold.functions.retry import Backoff, retried
 from tidefold.functions.storage import filesystem_conf
 from tidefold.operators.packing import pack
+from tidefold.plans.anchors import Anchor, MemoryAnchors
+from tidefold.plans.cache import FILE_BYTES, ManifestCache
 from tidefold.plans.table import Table
+from tidefold.plans.worker import Worker
+from tidefold.sources.catalog import Catalog
 
 SF = "/root/testdata/sf0.01"
 
@@ -85,6 +89,82 @@ def test_compaction_round_trip(spark, tmp_path):
         t.commit([result], t.version)
 
 
+def test_hidden_columns_do_not_clash(spark, tmp_path):
+    """A path that scans URL-encode, and columns named like hidden ones; large deletes are joined by a shuffle."""
+    data = spark.range(1000).selectExpr("id as seq", "id % 7 as pos", "concat('p', id) as file_path")
+    t = Table.create(spark, str(tmp_path / "a table + 50%"), data.schema)
+    t.append(data.coalesce(1))
+    t.append(data.coalesce(1))
+    t.append(spark.createDataFrame([(3,), (4,)], "seq long"), "equality_deletes", [1])
+    first = min(f.path for f in t.state()[1] if f.content == "data")
+    t.append(spark.createDataFrame([(first, 0), (first, 10)], "file_path string, pos long"), "position_deletes")
+    for limit in (64 << 20, 0):
+        df = t.read(config=ExecutionConfig(broadcast_delete_bytes=limit))
+        assert df.columns == data.columns and df.count() == 2000 - 4 - 2
+        if not limit:
+            assert "BroadcastHashJoin" not in df.drop("x")._jdf.queryExecution().executedPlan().toString().split("LeftAnti")[0]
+
+
+def test_scan_computes_hidden_columns_only_where_needed(spark, tmp_path):
+    t = Table.create(spark, str(tmp_path / "t"), spark.range(1).schema)
+    t.append(spark.range(100))
+    plan = t.read()._jdf.queryExecution().optimizedPlan().toString()
+    assert "_metadata" not in plan and "Join" not in plan
+    assert {(r.column, r.nulls, r.least) for r in t.statistics().orderBy("file_path").limit(1).collect()} == {("id", 0, "0")}
+
+
+def test_catalog_cache_and_anchors(spark, tmp_path):
+    now = [0.0]
+    cache = ManifestCache(max_bytes=6 * FILE_BYTES, ttl_seconds=10, clock=lambda: now[0])
+    c = Catalog(spark, str(tmp_path), cache)
+    t = c.create_table("ns", "b", spark.range(1).schema)
+    c.create_table("ns", "a", spark.range(1).schema)
+    assert c.list_tables("ns") == ["a", "b"] and c.list_tables("none") == []
+    t.append(spark.range(10).repartition(2))
+    for at, hits in ((0.0, 0), (5.0, 1), (11.0, 1)):
+        now[0] = at
+        cache.hits = 0 if at == 0.0 else cache.hits
+        if at == 0.0:
+            cache.forget(t.path)
+        assert len(c.load_table("ns", "b").state()[1]) == 2 and cache.hits == hits
+    for v in range(9):
+        cache.get("x", v, lambda: (None, [1]))
+    assert cache.used_bytes <= 6 * FILE_BYTES
+    with pytest.raises(PlanningError):
+        c.load_table("ns", "nope")
+    with pytest.raises(ConfigError):
+        c.load_table("..", "b")
+    anchors = MemoryAnchors()
+    done = frozenset(f.path for f in t.state()[1][:1])
+    anchors.put(Anchor(t.path, 2, done))
+    anchors.put(Anchor(t.path, 1))
+    assert anchors.get(t.path).version == 2
+    assert [[f.path for f in g] for g in t.plan(Strategy.FULL, processed=anchors.get(t.path).processed)] == [[f.path for f in t.state()[1] if f.path not in done]]
+    anchors.delete(t.path)
+    assert anchors.get(t.path) is None
+
+
+def test_worker(spark, tmp_path):
+    t = Table.create(spark, str(tmp_path / "t"), spark.range(1).schema)
+    for _ in range(3):
+        t.append(spark.range(1000).coalesce(1))
+    w = Worker(t, capacity=1)
+    files = t.state()[1]
+    task = w.submit(0, files[:2])
+    with pytest.raises(ResourceExhausted):
+        w.submit(1, files[2:])
+    result = w.result(task)
+    assert w.status(task) == "Success" and result.rows_out == 2000 and not w.cancel(task)
+    stopped = w.submit(1, files[2:])
+    assert w.cancel(stopped) and w.result(stopped) is None and w.status(stopped) == "Cancelled"
+    assert w.drain() and not w.ready
+    dry = t.commit([result], t.version, CommitMode.NONE)
+    assert (dry.files_removed, dry.tasks_committed) == (2, 0) and len(t.state()[1]) == 3
+    with pytest.raises(ConfigError):
+        t.commit([result], t.version, CommitMode.WORKER)
+    assert t.compact(planning=PlanningConfig(bin_pack_bytes=1)).tasks_committed == 3 and t.read().count() == 3000
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

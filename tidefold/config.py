@@ -49,3 +49,5 @@ class ExecutionConfig:
     #: Deletes beyond this many bytes of files are joined by a shuffle, others may be broadcast.
     broadcast_delete_bytes: int = 64 * MIB
     sort_columns: tuple[SortColumn, ...] = field(default=())
+    #: Groups rewritten at the same time.
+    concurrent_groups: int = 4

@@ -2,7 +2,8 @@
 
 Data rows carry hidden columns: file and position (position deletes), sequence (equality deletes). An anti join
 never multiplies rows, so repeated deletes are harmless. Small delete sides are broadcast by Spark's own size
-check; nothing is forced here, so huge ones turn into a shuffle join that AQE can split.
+check; nothing is forced here, so huge ones turn into a shuffle join that AQE can split. With ``shuffle`` (deletes
+known to be large) that join is asked for.
 """
 
 from __future__ import annotations
@@ -20,26 +21,28 @@ def apply_position_deletes(data: DataFrame, deletes: DataFrame, on: Sequence[str
     return data.join(deletes.select(*on), list(on), "left_anti")
 
 
-def apply_equality_deletes(data: DataFrame, deletes: DataFrame, keys: Sequence[str], seq: str = "seq", delete_seq: str = "seq", null_safe: bool = False) -> DataFrame:
+def apply_equality_deletes(data: DataFrame, deletes: DataFrame, keys: Sequence[str], seq: str = "seq", delete_seq: str = "seq", null_safe: bool = False, shuffle: bool = False) -> DataFrame:
     """Drop rows that a delete with all keys equal and a strictly greater sequence hits. With null_safe, null keys
-    equal each other; else they match nothing."""
-    d = deletes.select(*(F.col(k).alias(f"_d_{k}") for k in keys), F.col(delete_seq).alias("_d_seq"))
+    equal each other; else they match nothing. With shuffle the deletes are never broadcast."""
+    d = deletes.select(*(F.col(k).alias(f"_d_{k}") for k in keys), F.col(delete_seq).alias("_seq_d"))
     # Only the greatest sequence of a key matters, and deletes of one key collapse before the join.
-    d = d.groupBy(*(f"_d_{k}" for k in keys)).agg(F.max("_d_seq").alias("_d_seq"))
+    d = d.groupBy(*(f"_d_{k}" for k in keys)).agg(F.max("_seq_d").alias("_seq_d"))
+    if shuffle:
+        d = d.hint("merge")
     same: list[Column] = [data[k].eqNullSafe(F.col(f"_d_{k}")) if null_safe else data[k] == F.col(f"_d_{k}") for k in keys]
-    return data.join(d, reduce(Column.__and__, same) & (data[seq] < F.col("_d_seq")), "left_anti")
+    return data.join(d, reduce(Column.__and__, same) & (data[seq] < F.col("_seq_d")), "left_anti")
 
 
-def merge_on_read(data: DataFrame, columns: Sequence[str], positions: DataFrame | None = None, equality: Sequence[tuple[Sequence[str], DataFrame]] = (), null_safe: bool = False, sort: Sequence[SortColumn] = (), position_keys: Sequence[str] = ("file_path", "pos")) -> DataFrame:
+def merge_on_read(data: DataFrame, columns: Sequence[str], positions: DataFrame | None = None, equality: Sequence[tuple[Sequence[str], DataFrame]] = (), null_safe: bool = False, sort: Sequence[SortColumn] = (), position_keys: Sequence[str] = ("file_path", "pos"), seq: str = "seq", shuffle: bool = False) -> DataFrame:
     """Position deletes, then equality deletes (those of one key set as one join), then projection and sort."""
     if positions is not None:
         data = apply_position_deletes(data, positions, position_keys)
     by_keys: dict[tuple[str, ...], DataFrame] = {}
     for keys, d in equality:
-        d = d.select(*keys, "seq")
+        d = d.select(*keys, seq)
         by_keys[tuple(keys)] = by_keys[tuple(keys)].union(d) if tuple(keys) in by_keys else d
     for keys, d in by_keys.items():
-        data = apply_equality_deletes(data, d, keys, null_safe=null_safe)
+        data = apply_equality_deletes(data, d, keys, seq, seq, null_safe, shuffle)
     out = data.select(*columns)
     return out.orderBy(*sort_keys(sort)) if sort else out
 

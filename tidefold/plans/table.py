@@ -7,10 +7,13 @@ tries again or gives up. Exclusive creation needs a local or POSIX file system;
 
 from __future__ import annotations
 
+import bisect
 import json
 import os
 import uuid
+from collections import deque
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
@@ -18,13 +21,15 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from tidefold.config import ExecutionConfig, PlanningConfig, Strategy
+from tidefold.config import CommitMode, ExecutionConfig, PlanningConfig, Strategy
 from tidefold.errors import ConfigError, ConflictError, PlanningError, TableError
 from tidefold.functions.metrics import Metrics
 from tidefold.functions.retry import COMMIT, retried
 from tidefold.operators.merge import merge_on_read, sort_keys
 from tidefold.operators.packing import pack
-from tidefold.sources.reader import plain_path, scan_data, scan_equality_deletes, scan_position_deletes
+from tidefold.plans.cache import ManifestCache
+from tidefold.plans.worker import Worker
+from tidefold.sources.reader import PATH, POS, SEQ, plain_path, scan_data, scan_equality_deletes, scan_position_deletes
 
 
 @dataclass(frozen=True)
@@ -63,6 +68,7 @@ class Table:
     spark: SparkSession
     path: str
     metrics: Metrics = field(default_factory=Metrics)
+    cache: ManifestCache | None = None
 
     def __post_init__(self) -> None:
         if "://" in self.path and not self.path.startswith("file://"):
@@ -90,8 +96,14 @@ class Table:
         return int(max(p.stem for p in Path(self.path, "_log").glob("*.json")))
 
     def state(self, version: int | None = None) -> tuple[StructType, list[File]]:
-        raw = json.loads(Path(self.path, "_log", f"{self.version if version is None else version:020d}.json").read_text())
-        return StructType.fromJson(raw["schema"]), [File(**f | {"equality_ids": tuple(f["equality_ids"])}) for f in raw["files"]]
+        """Schema and live files of a version, the last one if none is given."""
+        at = self.version if version is None else version
+
+        def load() -> tuple[StructType, list[File]]:
+            raw = json.loads(Path(self.path, "_log", f"{at:020d}.json").read_text())
+            return StructType.fromJson(raw["schema"]), [File(**f | {"equality_ids": tuple(f["equality_ids"])}) for f in raw["files"]]
+
+        return self.cache.get(self.path, at, load) if self.cache else load()
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """Live files as a DataFrame."""
@@ -108,7 +120,11 @@ class Table:
         return retried(attempt, COMMIT)
 
     def _files(self, folder: str, seq: int, content: str = "data", ids: Sequence[int] = ()) -> list[File]:
-        return [File(str(p), p.stat().st_size, pq.read_metadata(p).num_rows, seq, content, tuple(ids)) for p in sorted(Path(folder).glob("*.parquet")) if pq.read_metadata(p).num_rows]
+        """What was written to a folder; files without rows are left out."""
+        paths = sorted(Path(folder).glob("*.parquet"))
+        with ThreadPoolExecutor(8) as pool:
+            rows = pool.map(lambda p: pq.read_metadata(p).num_rows, paths)
+        return [File(str(p), p.stat().st_size, n, seq, content, tuple(ids)) for p, n in zip(paths, rows) if n]
 
     def append(self, df: DataFrame, content: str = "data", equality_ids: Sequence[int] = ()) -> int:
         """Write rows as data files, position deletes (file_path, pos) or equality deletes (keys) of a new version."""
@@ -118,12 +134,17 @@ class Table:
 
     def _merged(self, files: Sequence[File], schema: StructType, deletes: Sequence[File], config: ExecutionConfig) -> DataFrame:
         spark = self.spark
-        seqs = spark.createDataFrame([(f.path, f.seq) for f in files], "file_path string, seq long")
-        data = scan_data(spark, seqs, schema, [f.path for f in files])
-        positions = scan_position_deletes(spark, [f.path for f in deletes if f.content == "position_deletes"])
         least = min(f.seq for f in files)
-        equality = scan_equality_deletes(spark, schema, [(f.path, f.equality_ids, f.seq) for f in deletes if f.content == "equality_deletes" and f.seq > least])
-        return merge_on_read(data, schema.names, positions, equality, config.null_safe_keys)
+        at_rows = [f for f in deletes if f.content == "position_deletes"]
+        at_keys = [f for f in deletes if f.content == "equality_deletes" and f.seq > least]
+        data = scan_data(spark, schema, [(f.path, f.seq) for f in files], positions=bool(at_rows), sequences=bool(at_keys))
+        positions = scan_position_deletes(spark, [f.path for f in at_rows])
+        equality = scan_equality_deletes(spark, schema, [(f.path, f.equality_ids, f.seq) for f in at_keys])
+        # Deletes of more file bytes than this are never broadcast, however small the optimizer takes them to be.
+        limit = config.broadcast_delete_bytes
+        if positions is not None and sum(f.size for f in at_rows) > limit:
+            positions = positions.hint("merge")
+        return merge_on_read(data, schema.names, positions, equality, config.null_safe_keys, position_keys=(PATH, POS), seq=SEQ, shuffle=sum(f.size for f in at_keys) > limit)
 
     def read(self, version: int | None = None, config: ExecutionConfig = ExecutionConfig()) -> DataFrame:
         """Live rows."""
@@ -136,7 +157,9 @@ class Table:
     def plan(self, strategy: Strategy = Strategy.SMALL_FILES, config: PlanningConfig = PlanningConfig(), processed: frozenset[str] = frozenset()) -> list[list[File]]:
         """Groups of data files to rewrite. Every data file may be hit by every delete file here."""
         files = self.state()[1]
-        n_deletes = {f.path: sum(d.content == "position_deletes" or d.seq > f.seq for d in files if d.content != "data") for f in files}
+        everywhere = sum(d.content == "position_deletes" for d in files)
+        later = sorted(d.seq for d in files if d.content == "equality_deletes")
+        n_deletes = {f.path: everywhere + len(later) - bisect.bisect_right(later, f.seq) for f in files}
         data = [f for f in sorted(files, key=lambda f: f.path) if f.content == "data" and f.path not in processed]
         if strategy is Strategy.SMALL_FILES:
             data = [f for f in data if f.size <= config.small_file_threshold_bytes]
@@ -145,7 +168,10 @@ class Table:
         if config.bin_pack_bytes is None:
             return [data] if data else []
         bins = pack([f.size for f in data], config.bin_pack_bytes, config.lookback)
-        return [[f for f, b in zip(data, bins) if b == k] for k in sorted(set(bins))]
+        groups: dict[int, list[File]] = {}
+        for f, b in zip(data, bins):
+            groups.setdefault(b, []).append(f)
+        return [groups[b] for b in sorted(groups)]
 
     def execute(self, group: int, files: Sequence[File], config: ExecutionConfig = ExecutionConfig(), version: int | None = None) -> Result:
         """Rewrite one group; never raises."""
@@ -168,12 +194,14 @@ class Table:
             self.metrics.add("tasks_failed")
             return Result(group, "Failed", tuple(files), error=str(e))
 
-    def commit(self, results: Sequence[Result], base: int, dry_run: bool = False) -> Summary:
-        """Swap the files of all successful results in one new version."""
+    def commit(self, results: Sequence[Result], base: int, mode: CommitMode = CommitMode.PLANNER) -> Summary:
+        """Swap the files of all successful results in one new version; mode NONE only adds up what would change."""
+        if mode is CommitMode.WORKER:
+            raise ConfigError("workers do not commit; results are committed together")
         good = [r for r in results if r.status == "Success"]
         removed, added = [f for r in good for f in r.removed], [f for r in good for f in r.added]
         totals = {"files_removed": len(removed), "files_added": len(added), "bytes_removed": sum(f.size for f in removed), "bytes_added": sum(f.size for f in added)}
-        if dry_run or not good:
+        if mode is CommitMode.NONE or not good:
             return Summary(self.version, **totals if good else {})
         gone = {f.path for f in removed}
         known = {f.path for f in self.state(base)[1]}
@@ -193,5 +221,35 @@ class Table:
         return Summary(version, **totals, tasks_committed=len(good))
 
     def compact(self, strategy: Strategy = Strategy.FULL, planning: PlanningConfig = PlanningConfig(), execution: ExecutionConfig = ExecutionConfig()) -> Summary:
+        """Plan, rewrite the groups (execution.concurrent_groups at a time) and commit."""
         base = self.version
-        return self.commit([self.execute(k, g, execution, base) for k, g in enumerate(self.plan(strategy, planning))], base)
+        worker, waiting, results = Worker(self, execution.concurrent_groups), deque(), []
+        for k, group in enumerate(self.plan(strategy, planning)):
+            if len(waiting) == worker.capacity:
+                results.append(worker.result(waiting.popleft()))
+            waiting.append(worker.submit(k, group, execution, base))
+        results += [worker.result(t) for t in waiting]
+        worker.drain()
+        return self.commit(results, base)
+
+    def statistics(self, version: int | None = None) -> DataFrame:
+        """Bytes, null counts and bounds (as text) of every column of every live data file, from the footers."""
+        paths = [(f.path,) for f in self.state(version)[1] if f.content == "data"]
+
+        def footers(batches):  # noqa: ANN001, ANN202
+            import pandas as pd
+
+            for b in batches:
+                rows = []
+                for path in b["file_path"]:
+                    meta = pq.read_metadata(path)
+                    for c in range(meta.num_columns):
+                        parts = [meta.row_group(g).column(c) for g in range(meta.num_row_groups)]
+                        stats = [p.statistics for p in parts]
+                        nulls = sum(s.null_count for s in stats) if all(s and s.has_null_count for s in stats) else None
+                        bounds = [(s.min, s.max) for s in stats if s and s.has_min_max]
+                        rows.append((path, parts[0].path_in_schema, sum(p.total_compressed_size for p in parts), nulls, str(min(x for x, _ in bounds)) if bounds else None, str(max(y for _, y in bounds)) if bounds else None))
+                yield pd.DataFrame(rows, columns=["file_path", "column", "bytes", "nulls", "least", "greatest"])
+
+        listed = self.spark.createDataFrame(paths, "file_path string").repartition(max(1, min(200, len(paths) // 50)))
+        return listed.mapInPandas(footers, "file_path string, column string, bytes long, nulls long, least string, greatest string")

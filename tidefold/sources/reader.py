@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -16,28 +16,47 @@ def plain_path(path: str) -> str:
     return "/" + path[5:].lstrip("/") if path.startswith("file:") else path
 
 
-def scan_data(spark: SparkSession, files: DataFrame, schema: StructType, paths: Sequence[str]) -> DataFrame:
-    """The columns with file_path, pos and seq; files has (file_path, seq). paths is a group's bounded list."""
-    if not paths:
+#: Hidden columns; a table's own file_path, pos or seq columns stay apart from them.
+PATH, POS, SEQ = "__file_path", "__pos", "__seq"
+#: Sequences of up to so many files are broadcast (some 20 MB); those of more are joined by a shuffle.
+BROADCAST_FILES = 100_000
+
+
+def scan_data(spark: SparkSession, schema: StructType, files: Sequence[tuple[str, int]], positions: bool = True, sequences: bool = True) -> DataFrame:
+    """The columns of a group's (path, sequence) files, with the hidden columns that are asked for."""
+    if not files:
         raise PlanningError("no files to scan")
-    df = spark.read.schema(schema).parquet(*paths)
-    df = df.select("*", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("file_path"), F.col("_metadata.row_index").alias("pos"))
-    return df.join(F.broadcast(files.select("file_path", "seq")), "file_path")
+    df = spark.read.schema(schema).parquet(*(p for p, _ in files))
+    hidden = [_scanned_path().alias(PATH)] if positions or sequences else []
+    df = df.select("*", *hidden, *([F.col("_metadata.row_index").alias(POS)] if positions else []))
+    if not sequences:
+        return df
+    known = {s for _, s in files}
+    if len(known) == 1:
+        return df.withColumn(SEQ, F.lit(known.pop()).cast("long"))
+    seqs = spark.createDataFrame(list(files), f"{PATH} string, {SEQ} long")
+    return df.join(F.broadcast(seqs) if len(files) <= BROADCAST_FILES else seqs.hint("merge"), PATH)
+
+
+def _scanned_path() -> Column:
+    """The file's path as the manifest spells it; the scan gives it URL-encoded."""
+    plain = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
+    return F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))
 
 
 def scan_position_deletes(spark: SparkSession, paths: Sequence[str]) -> DataFrame | None:
     if not paths:
         return None
-    return spark.read.schema("file_path string, pos long").parquet(*paths).select(F.regexp_replace("file_path", "^file:/+", "/").alias("file_path"), "pos")
+    return spark.read.schema("file_path string, pos long").parquet(*paths).select(F.regexp_replace("file_path", "^file:/+", "/").alias(PATH), F.col("pos").alias(POS))
 
 
 def scan_equality_deletes(spark: SparkSession, schema: StructType, files: Sequence[tuple[str, Sequence[int], int]]) -> list[tuple[tuple[str, ...], DataFrame]]:
-    """(keys, deletes with seq) of each (path, field ids, sequence); keys are resolved by field id."""
+    """(keys, deletes with their sequence) of each (path, field ids, sequence); keys are resolved by field id."""
     names = {f.metadata.get("field_id"): f for f in schema.fields}
     out = []
     for path, ids, seq in files:
         if not ids or any(i not in names for i in ids):
             raise SchemaError(f"{path}: equality ids {list(ids)} are not all in the schema")
         keys = [names[i] for i in ids]
-        out.append((tuple(k.name for k in keys), spark.read.schema(StructType(keys)).parquet(path).withColumn("seq", F.lit(seq).cast("long"))))
+        out.append((tuple(k.name for k in keys), spark.read.schema(StructType(keys)).parquet(path).withColumn(SEQ, F.lit(seq).cast("long"))))
     return out
