@@ -9,8 +9,8 @@ from tidefold.llm import byte_bpe, decontaminate, language, license_scan, near_d
 
 BPE, WORDS = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
 #: Names that operators use inside, beside the documents' own.
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, node string, row int, hash string, comp int, key string, size string, score int, kept string, virtual_slot string, first int, u int, v int, h int, s int, hits int, t int, _i int, _t int"
-DOC_ROWS = {"empty": [], "nulls": [(None,) * 23] * 3}
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, node string, row int, hash string, comp int, key string, size string, score int, kept string, virtual_slot string, first int, u int, v int, h int, s int, hits int, t int, _i int, _t int, _row int, _hash int"
+DOC_ROWS = {"empty": [], "nulls": [(None,) * 25] * 3}
 BENCH = "item_id long, text string, i int, t string"
 TURNS = "conv_id long, turn long, role string, text string, a int, b int, l int, to int, answer int, n_prompt_turns int"
 PAGES = "page_id long, url string, host string, path string, rule string, verdict string, score int, _u int"
@@ -98,3 +98,9 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_dedup_keeps_columns_named_like_its_keys(spark):
+    rows = [(1, "a b c d e f", 5, 6), (2, "a b c d e f", 7, 8), (3, "", 9, 9)]
+    got = near_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, _row int, _hash int"))
+    assert sorted(map(tuple, got.collect())) == [rows[0], rows[2]]

@@ -161,17 +161,37 @@ def test_slots(spark, odd):
     assert max(sizes.values()) <= 1.05 * min(sizes.values())
 
 
-@pytest.mark.parametrize("name", ["op4_preference", "op7_license_scan"])
-def test_sql(spark, name):
+def same_as_sql(spark, name, sf_dir, tables):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
-        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    for t in tables:
+        con.sql(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet{'/*.parquet' if sf_dir != SF else ''}')")
     want = con.sql(queries.oracle_sql()[name])
     cols = sorted(want.columns)
-    got = queries.queries()[name](spark, SF)
+    got = queries.queries()[name](spark, sf_dir)
+    assert sorted(got.columns) == cols
     assert sorted(map(str, (tuple(r[c] for c in cols) for r in got.collect()))) == sorted(map(str, want.project(", ".join(cols)).fetchall()))
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, name):
+    same_as_sql(spark, name, SF, ("documents", "conversations", "benchmark"))
+
+
+@pytest.fixture(scope="module")
+def odd_dir(spark, odd, tmp_path_factory):
+    """The odd rows as a table, beside test items of one word up to a whole text, doubled, null and empty ones."""
+    path = str(tmp_path_factory.mktemp("odd"))
+    odd.write.parquet(f"{path}/documents.parquet")
+    items = [(1, "a"), (2, "don't"), (3, "A b"), (4, BASE), (4, BASE), (5, None), (6, ""), (None, "three four five six seven EIGHT nine")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["op2_decontaminate", "op5_setsketch_dedup", "op7_license_scan", "op8_language_id", "op9_quality_rules"])
+def test_sql_of_odd_rows(spark, odd_dir, name):
+    same_as_sql(spark, name, odd_dir, ("documents", "benchmark"))
+
+
 def test_odd_rows_elsewhere(spark, odd):
     assert license_scan.scan(odd).count() == 0
     hit = spark.createDataFrame([(1, "x Released under the MIT License. y"), (None, None)], "doc_id long, text string")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidefold.llm.columnar import U64, Shingles, Words, blocks, mix, overlap, runs
 from tidefold.llm.components import components
-from tidefold.llm.shared import lean, written
+from tidefold.llm.shared import lean, unused, written
 
 BASE, RATE, TOP, CERTAIN = 1.001, 20.0, 65535, 20.0
 #: Nodes of a small bucket; nodes and shingles of a block.
@@ -110,8 +110,8 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -
     return out
 
 
-def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.withColumn("_hash", F.xxhash64(text_col)).withColumn("_row", F.coalesce(F.col(id_col).cast("long"), "_hash"))
+def _keyed(df: DataFrame, id_col: str, text_col: str, row: str = "_row", hash_: str = "_hash") -> DataFrame:
+    return df.withColumn(hash_, F.xxhash64(text_col)).withColumn(row, F.coalesce(F.col(id_col).cast("long"), F.col(hash_)))
 
 
 def grouped(df: DataFrame, shingle: int, percent: int, registers: int = 128, band_rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -239,7 +239,8 @@ def deduplicated(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     """The frame with one document of each group: the one of least id, null ids last. Texts without words stay."""
     rows, found = grouped(df, shingle, percent, id_col=id_col, text_col=text_col)
     first = rows.where("n > 0").join(found.select("node", "comp"), "node").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), "row", "hash")).alias("m"))
-    keep = first.select(F.col("m.row").alias("_row"), F.col("m.hash").alias("_hash"))
+    row, hash_ = unused(df, "row"), unused(df, "hash")
+    keep = first.select(F.col("m.row").alias(row), F.col("m.hash").alias(hash_))
     wordless = F.coalesce(~F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"), F.lit(True))
-    chosen = _keyed(df.where(~wordless), id_col, text_col).join(keep, ["_row", "_hash"], "left_semi").dropDuplicates(["_row", "_hash"])
-    return chosen.drop("_row", "_hash").union(df.where(wordless))
+    chosen = _keyed(df.where(~wordless), id_col, text_col, row, hash_).join(keep, [row, hash_], "left_semi").dropDuplicates([row, hash_])
+    return chosen.drop(row, hash_).union(df.where(wordless))

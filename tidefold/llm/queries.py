@@ -91,6 +91,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidefold.llm import license_scan, preference
-
-    return {"op4_preference": preference.ORACLE, "op7_license_scan": license_scan.oracle()}
+    from tidefold.llm import license_scan, oracles, preference
+
+    return {
+        "op2_decontaminate": oracles.decontaminate(),
+        "op4_preference": preference.ORACLE,
+        "op5_setsketch_dedup": oracles.near_duplicates(4, 80),
+        "op7_license_scan": license_scan.oracle(),
+        "op8_language_id": oracles.language(),
+        "op9_quality_rules": oracles.quality(),
+    }

@@ -41,6 +41,14 @@ def dropped(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as make it none of the frame's."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def lean(df: DataFrame) -> DataFrame:
     """Small Arrow batches keep memory flat however long single texts are; operators join them where that pays."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
