@@ -32,8 +32,8 @@ from tidefold.llm.components import components
 from tidefold.llm.shared import lean, unused, written
 
 BASE, RATE, TOP, CERTAIN = 1.001, 20.0, 65535, 20.0
-#: Nodes of a small bucket; nodes and shingles of a block.
-SMALL, BLOCK_NODES, BLOCK_SHINGLES = 32, 512, 1 << 20
+#: Nodes of a small bucket; nodes and shingles of a block; tasks that a large bucket's members are spread over.
+SMALL, BLOCK_NODES, BLOCK_SHINGLES, SALTS = 32, 512, 1 << 20, 16
 _rng = np.random.default_rng(1511)
 _XOR = _rng.integers(0, 2**63, 1024, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _MUL = _rng.integers(0, 2**63, 1024, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -191,7 +191,9 @@ def grouped(df: DataFrame, shingle: int, percent: int, registers: int = 128, ban
 
     many = rest.where(F.col("size") > SMALL).join(sets.select("node", "shingles"), "node")
     span = many.groupBy("key").agg(*(F.greatest(F.lit(1), F.ceil(F.sum(F.when(x, 1)) / BLOCK_NODES), F.ceil(F.sum(F.when(x, F.octet_length("shingles"))) / (8 * BLOCK_SHINGLES))).cast("int").alias(n) for x, n in ((F.col("alone"), "a"), (F.lit(True), "m"))))
-    dealt = many.select("key", "node", "comp", "alone", "shingles").join(span, "key")
+    # A key's members are spread over SALTS tasks to meet its counts: one bucket may hold a large share of all nodes.
+    span = span.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    dealt = many.select("key", "node", "comp", "alone", "shingles", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SALTS)).alias("salt")).join(span, ["key", "salt"])
     of = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
     sides = dealt.where("alone").select("key", of("a", 1).alias("x"), every("m").alias("y"), F.lit(True).alias("first"), "comp", "shingles").union(dealt.select("key", every("a").alias("x"), of("m", 2).alias("y"), F.lit(False), "comp", "shingles"))
