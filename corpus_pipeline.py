@@ -18,7 +18,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language.keep(docs, language.fit(docs.where(~language.held_out())))
+    training = docs.where(~language.held_out())
+    profiles = language.fit(training)
+    return language.keep(docs, profiles, least=language.calibrate(training, profiles))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

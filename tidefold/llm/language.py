@@ -7,6 +7,10 @@ the profile lacks. The nearest profile wins, the lesser name on ties. The score
 of the greatest possible one. Equal counts rank by the n-gram's code.
 
 Null texts and texts without a letter are ``und`` with score 0, as is everything if nothing could be learned.
+``keep`` asks for more than the nearest profile: foreign and gibberish texts have one too. ``calibrate`` takes the
+least score that a text of a language and length may have from the training rows' own scores: ``SHARE`` of their
+quantile ``LOW``, or ``HALF`` of their median where that is more (so a few wrongly labelled rows do not open it).
+
 Whole texts count, in training (every row with a text and a language; counts are added up in the tasks before any
 shuffle) and in prediction (no shuffle). Other columns pass through ``keep``.
 """
@@ -14,7 +18,7 @@ shuffle) and in prediction (no shuffle). Other columns pass through ``keep``.
 from __future__ import annotations
 
 import functools
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +30,9 @@ from tidefold.llm.columnar import blocks, runs
 from tidefold.llm.shared import lean
 
 TOP, UNKNOWN = 300, "und"
+#: Least scores: a share of the low quantile and one of the median, from at least so many rows of near lengths, in bins.
+#: The shares lie between clean texts (of sf0.1: 0.74 and 0.56 at least) and foreign ones (Dutch: 0.55 and 0.42).
+LOW, SHARE, HALF, LEAST_ROWS, BINS = 0.01, 0.65, 0.5, 20, 1000
 
 
 @functools.lru_cache(maxsize=1)
@@ -64,9 +71,13 @@ class Profiles:
             self.rank[np.searchsorted(self.codes, np.array(tops[name], dtype=np.int64)), k] = np.arange(len(tops[name]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.measured(text)[:2]
+
+    def measured(self, text: str | None) -> tuple[str, float, int]:
+        """Language, score, and the length class: the bits of the number of distinct n-grams."""
         codes = ngrams(text) if text else np.zeros(0, np.int64)
         if not len(codes) or not self.names:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0
         codes, counts = ranked(codes)
         top = codes[np.argsort(-counts, kind="stable")[:TOP]]
         at = np.searchsorted(self.codes, top)
@@ -75,7 +86,30 @@ class Profiles:
         rank = self.rank[at]
         distance = np.where(rank < 0, TOP, np.abs(rank - np.arange(len(top))[:, None])).sum(axis=0)
         best = int(distance.argmin())
-        return self.names[best], float(1 - distance[best] / (TOP * len(top)))
+        return self.names[best], float(1 - distance[best] / (TOP * len(top))), len(codes).bit_length()
+
+
+class LeastScores:
+    """The least score of a language and length class, from counts of training rows by (language, class, bin of score)."""
+
+    def __init__(self, counts: dict[tuple[str, int, int], int]):
+        self.bins: dict[str, np.ndarray] = {}
+        for (lang, length, b), n in counts.items():
+            self.bins.setdefault(lang, np.zeros((64, BINS + 1), dtype=np.int64))[length, b] += n
+        self.found: dict[tuple[str, int], float] = {}
+
+    def least(self, lang: str, length: int) -> float:
+        """Rows of the class and its neighbours count, of ever more of them until there are LEAST_ROWS (or all)."""
+        if lang not in self.bins:
+            return 0.0
+        if (lang, length) not in self.found:
+            table, reach = self.bins[lang], 1
+            while (seen := table[max(0, length - reach) : length + reach + 1].sum(axis=0)).sum() < LEAST_ROWS and reach < len(table):
+                reach += 1
+            below = np.cumsum(seen)
+            low, median = (int(np.searchsorted(below, below[-1] * q, side="right")) / BINS for q in (LOW, 0.5))
+            self.found[lang, length] = max(SHARE * low, HALF * median)
+        return self.found[lang, length]
 
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Profiles:
@@ -107,6 +141,25 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Prof
     return Profiles(dict(tops))
 
 
+def calibrate(rows: DataFrame, profiles: Profiles, text_col: str = "text", lang_col: str = "lang") -> LeastScores:
+    """Least scores from all rows that are predicted as labelled. Only counts of bins reach the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[tuple[str, int, int]] = Counter()
+        for b in blocks(batches, "t"):
+            for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                best, score, length = profiles.measured(t)
+                if best == lang and length:
+                    total[lang, length, int(score * BINS)] += 1
+        if total:
+            keys = list(zip(*total))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), *(pa.array(v, pa.int32()) for v in keys[1:]), pa.array(list(total.values()), pa.int64())], ["lang", "length", "bin", "n"])
+
+    known = lean(rows).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
+    counts = known.mapInArrow(count, "lang string, length int, bin int, n long").groupBy("lang", "length", "bin").agg(F.sum("n").alias("n"))
+    return LeastScores({(r.lang, r.length, r.bin): r.n for r in counts.collect()})
+
+
 def held_out(id_col: str | Column = "doc_id") -> Column:
     """Rows kept from training: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -123,12 +176,16 @@ def predict(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col:
     return lean(df).select(df[id_col].cast("long").alias("_i"), held_out(id_col).alias("_h"), df[text_col].alias("_t")).mapInArrow(run, f"{id_col} long, held_out boolean, lang_pred string, score double")
 
 
-def keep(df: DataFrame, profiles: Profiles, least_score: float = 0.05, text_col: str = "text") -> DataFrame:
-    """The rows whose language is known with at least that score, with all their columns."""
+def keep(df: DataFrame, profiles: Profiles, least_score: float = 0.05, text_col: str = "text", least: LeastScores | None = None) -> DataFrame:
+    """The rows whose language is known with at least that score, and with the least one of its language and length
+    if those are given (see calibrate), with all their columns."""
+
+    def known(text: str | None) -> bool:
+        lang, score, length = profiles.measured(text)
+        return lang != UNKNOWN and score >= max(least_score, least.least(lang, length) if least else 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, text_col):
-            got = [profiles.predict(t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
-            yield b.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in got]))
+            yield b.filter(pa.array([known(t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()], pa.bool_()))
 
     return lean(df).mapInArrow(run, df.schema)
