@@ -14,7 +14,7 @@ from tidefold.llm.shared import fresh_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return repetition.keep(docs)
+    return repetition.keep(docs, repetition.STRICT)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,3 +29,24 @@ def test_language_stage_drops_foreign_and_gibberish_texts(spark):
     assert repetition.keep(both).count() == both.count()  # the stage before lets all of them through
     kept = {r.doc_id for r in corpus_pipeline.language_id(spark, both, SF).collect()}
     assert kept == {r.doc_id for r in docs.collect()}
+
+
+def test_quality_stage_drops_repeats_that_pass_the_base_rules(spark):
+    def fresh(name, n):
+        return [f"{name}{k}" for k in range(n)]
+
+    passage, long = fresh("p", 18), fresh("q", 150)
+    bad = [
+        passage + fresh("a", 32) + passage + fresh("b", 32),  # 36 of 100 words, under half
+        [w for k in range(10) for w in fresh(f"r{k}x", 18) * 2 + fresh(f"s{k}x", 64)],  # many short repeats
+        fresh("a", 50) + passage + passage + fresh("b", 30),  # longest of 18 of 116 words
+        long + fresh("a", 2000) + long + fresh("b", 2000),  # 7 of 100 words, but 150 at once
+    ]
+    good = [fresh("a", 400), passage[:9] + fresh("a", 60) + passage[:9] + fresh("b", 60)]
+    rows = [(100_000 + k, " ".join(w), "en", "s", 1) for k, w in enumerate(bad + good)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    both = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    assert not {r.doc_id for r in repetition.judge(both).where("base_failed").collect()} & {r[0] for r in rows}
+    clean = {r.doc_id for r in repetition.judge(docs).where("not base_failed").collect()}
+    kept = {r.doc_id for r in corpus_pipeline.quality_rules(spark, both, SF).collect()}
+    assert kept == clean | {100_000 + len(bad), 100_001 + len(bad)}
