@@ -5,7 +5,7 @@ import hashlib
 import random
 
 import corpus_pipeline
-from tidefold.llm import repetition
+from tidefold.llm import license_scan, queries, repetition
 
 SF = "/root/testdata/sf0.001"
 FOREIGN = [
@@ -50,3 +50,14 @@ def test_quality_stage_drops_repeats_that_pass_the_base_rules(spark):
     clean = {r.doc_id for r in repetition.judge(docs).where("not base_failed").collect()}
     kept = {r.doc_id for r in corpus_pipeline.quality_rules(spark, both, SF).collect()}
     assert kept == clean | {100_000 + len(bad), 100_001 + len(bad)}
+
+
+def test_short_notices_are_found_inside_documents(spark):
+    texts = ["Copyright 2020 Somebody. ALL rights\n reserved. More words follow here", "all rights", "All rights reserved.", "all of the rights reserved", "x // SPDX-License-Identifier: MIT", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    both = license_scan.scan(docs, license_scan.TEMPLATES | license_scan.SHORT_NOTICES)
+    got = sorted((r.doc_id, r.license, r.template_shingles, r.shared_shingles) for r in both.collect())
+    assert got == [(0, "All-rights-reserved", 1, 1), (2, "All-rights-reserved", 1, 1), (4, "SPDX-MIT", 1, 1)]
+    rows = queries.queries()["op7_short_notices"](spark, SF).where("license = 'All-rights-reserved'").collect()
+    held = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").where("text like '%All rights reserved.%'").collect()}
+    assert held and {r.doc_id for r in rows} == held and len(rows) == len(held)

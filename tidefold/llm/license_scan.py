@@ -8,6 +8,8 @@ similarity is a third at least; a longer one shares a long window of similarity
 its shingles are gone: either is retrieved with a probability over 0.998. Candidates are then decided by exact
 containment of the template's shingles in the text's.
 
+A template shorter than a shingle is sought in the text's windows of its own length, and needs no minima.
+
 Texts that hold none of the templates' shingles cannot share a minimum with them and are passed over before the
 minima are taken; the outcome is the same. There is no shuffle: the templates, a short fixed list, are literals.
 Null and empty texts hold nothing; texts are judged one by one, so repeats and ids need nothing special.
@@ -34,6 +36,14 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
+#: Notices shorter than a shingle. The SQL of op7 has no rows for them, so they have a query of their own.
+SHORT_NOTICES = {
+    "All-rights-reserved": "All rights reserved.",
+    "Apache-2.0-name": "Apache License, Version 2.0",
+    "GPL-name": "GNU General Public License",
+    "MPL-name": "Mozilla Public License",
+    "MIT-name": "The MIT License",
+} | {f"SPDX-{k}": f"SPDX-License-Identifier: {k}" for k in ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "CC-BY-4.0", "CC-BY-NC-4.0")}
 
 
 def _shingles(text: str) -> Column:
@@ -43,10 +53,15 @@ def _shingles(text: str) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _windows(hashes: str, length: int) -> Column:
+    """The combined hashes of a text's windows; it has that many words at least."""
+    many = F.col(hashes)
+    return F.transform(F.sequence(F.lit(1), F.size(hashes) - length + 1), lambda k: F.xxhash64(F.slice(many, k, length)))
+
+
 def _combined(hashes: str) -> Column:
     n, many = F.size(hashes), F.col(hashes)
-    windows = F.transform(F.sequence(F.lit(1), n - SHINGLE + 1), lambda k: F.xxhash64(F.slice(many, k, SHINGLE)))
-    return F.when(n >= SHINGLE, windows).when(n > 0, F.array(F.xxhash64(many))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n >= SHINGLE, _windows(hashes, SHINGLE)).when(n > 0, F.array(F.xxhash64(many))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _minima(shingles: str, every_word: bool) -> Column:
@@ -80,17 +95,25 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, containment: floa
     """One row for each text and template found in it: id_col, license, template_shingles, shared_shingles."""
     spark: SparkSession = df.sparkSession
     given = spark.range(1, numPartitions=1).select(F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.lit(v).alias("text")) for k, v in templates.items()))).alias("t")).select("t.*")
-    given = given.select("name", _once(_shingles("text")).alias("h")).select("name", _once(_combined("h")).alias("s"))
-    given = given.where(F.size("s") > 0).select("name", "s", _once(_minima("s", True)).alias("bands")).select("name", F.array_distinct("s").alias("s"), "bands").collect()
+    given = given.select("name", _once(_shingles("text")).alias("h")).select("name", F.size("h").alias("n"), _once(_combined("h")).alias("s"))
+    given = given.where(F.size("s") > 0).select("name", "n", "s", _once(_minima("s", True)).alias("bands")).select("name", "n", F.array_distinct("s").alias("s"), "bands").collect()
     if not given:
         return df.limit(0).select(F.col(id_col).cast("long").alias(id_col), F.lit("").alias("license"), F.lit(0).alias("template_shingles"), F.lit(0).alias("shared_shingles"))
-    all_shingles, all_bands = _longs(sorted({x for t in given for x in t.s})), _longs(sorted({x for t in given for x in t.bands}))
-    known = F.array(*(F.struct(F.lit(t.name).alias("name"), _longs(t.s).alias("s"), _longs(t.bands).alias("bands")) for t in given))
-    rows = df.select(F.col(id_col).cast("long").alias(id_col), _once(_shingles(text_col)).alias("h")).select(id_col, _once(_combined("h")).alias("s"))
-    rows = rows.where(F.arrays_overlap("s", all_shingles))
-    rows = rows.select(id_col, "s", _once(F.array_intersect(_minima("s", False), all_bands)).alias("hits")).where(F.size("hits") > 0)
-    rows = rows.select(id_col, "s", F.explode(F.filter(known, lambda t: F.arrays_overlap(t.bands, F.col("hits")))).alias("t"))
-    rows = rows.select(id_col, F.col("t.name").alias("license"), F.size("t.s").alias("template_shingles"), F.size(F.array_intersect("t.s", "s")).alias("shared_shingles"))
+    long = [t for t in given if t.n >= SHINGLE]
+    short: dict[int, set[int]] = {}
+    for t in given:
+        if t.n < SHINGLE:
+            short.setdefault(t.n, set()).update(t.s)
+    all_shingles, all_bands = _longs(sorted({x for t in long for x in t.s})), _longs(sorted({x for t in long for x in t.bands}))
+    known = F.array(*(F.struct(F.lit(t.name).alias("name"), _longs(t.s).alias("s"), _longs(t.bands if t.n >= SHINGLE else []).alias("bands")) for t in given))
+    none = F.array().cast("array<bigint>")
+    brief = [F.when(F.size("h") >= n, F.array_intersect(_windows("h", n), _longs(sorted(keys)))).otherwise(none) for n, keys in sorted(short.items())]
+    rows = df.select(F.col(id_col).cast("long").alias(id_col), _once(_shingles(text_col)).alias("h"))
+    rows = rows.select(id_col, "h", (_once(F.concat(*brief)) if brief else none).alias("brief")).select(id_col, "brief", _once(_combined("h")).alias("s"))
+    rows = rows.where(F.arrays_overlap("s", all_shingles) | (F.size("brief") > 0))
+    rows = rows.select(id_col, "s", "brief", _once(F.array_intersect(_minima("s", False), all_bands)).alias("hits")).where((F.size("hits") > 0) | (F.size("brief") > 0))
+    rows = rows.select(id_col, "s", "brief", F.explode(F.filter(known, lambda t: F.arrays_overlap(t.bands, F.col("hits")) | F.arrays_overlap(t.s, F.col("brief")))).alias("t"))
+    rows = rows.select(id_col, F.col("t.name").alias("license"), F.size("t.s").alias("template_shingles"), F.size(F.array_intersect("t.s", F.concat("s", "brief"))).alias("shared_shingles"))
     return rows.where(F.col("shared_shingles") >= containment * F.col("template_shingles") - 1e-9)
 
 

@@ -65,6 +65,13 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_short_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices shorter than a shingle, which the SQL of op7_license_scan leaves out."""
+    from tidefold.llm import license_scan
+
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.SHORT_NOTICES)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidefold.llm import language
 
