@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import textwrap
 
 import corpus_pipeline
 from tidefold.llm import license_scan, queries, repetition
@@ -61,3 +62,15 @@ def test_short_notices_are_found_inside_documents(spark):
     rows = queries.queries()["op7_short_notices"](spark, SF).where("license = 'All-rights-reserved'").collect()
     held = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").where("text like '%All rights reserved.%'").collect()}
     assert held and {r.doc_id for r in rows} == held and len(rows) == len(held)
+
+
+def test_commented_and_wrapped_license_headers_are_found(spark, tmp_path):
+    def commented(name, first, each, last="", width=60):
+        lines = textwrap.wrap((license_scan.TEMPLATES | license_scan.PASSAGES)[name], width)
+        return "\n".join([first, *(each + x for x in lines), last, "some code()"])
+
+    apache = "\n".join(["# Copyright 2020 Somebody", "#", *("# " + x for x in textwrap.wrap(license_scan.TEMPLATES["Apache-2.0-notice"], 70)), "#", "#     http://www.apache.org/licenses/LICENSE-2.0", "#"])
+    texts = [apache, commented("MIT-permission", "/*", " * ", " */"), commented("BSD-3-endorsement", "//", "// "), commented("GPL-disclaimer", "", "-- "), "see - the ***** License", "/" * 300_000 + " " + "-" * 300_000 + "x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.license) for r in queries.queries()["op7_license_scan"](spark, str(tmp_path)).collect()}
+    assert got == {(0, "Apache-2.0"), (0, "Apache-2.0-notice"), (1, "MIT-permission"), (2, "BSD-3-endorsement"), (3, "GPL-disclaimer")}

@@ -1,6 +1,7 @@
 """License scan by MinHash bands over overlapping text windows, in DataFrame functions only.
 
-A text is its 5-word shingles in order (case folded; fewer words are one shingle). Windows of two lengths overlap:
+A text is its 5-word shingles in order (fewer words are one shingle). Words are split at white space, case folded and
+freed of all but letters, marks and digits at both ends; what is left empty, as comment signs, is no word. Windows of two lengths overlap:
 short ones of 3 shingles at every word, long ones of 8 shingles at every fourth. Templates are cut into windows of
 the same lengths at every word. Each window has ``BANDS`` MinHash values, each a band of its own; a text and a
 template that share a band value are a candidate. A passage of up to 3 shingles lies within a short window whose
@@ -8,7 +9,8 @@ similarity is a third at least; a longer one shares a long window of similarity
 its shingles are gone: either is retrieved with a probability over 0.998. Candidates are then decided by exact
 containment of the template's shingles in the text's.
 
-A template shorter than a shingle is sought in the text's windows of its own length, and needs no minima.
+A template shorter than a shingle is sought in the text's windows of its own length, and one of up to ``TINY``
+shingles by any of them, as minima of windows that reach beyond it may miss it; neither needs minima.
 
 Texts that hold none of the templates' shingles cannot share a minimum with them and are passed over before the
 minima are taken; the outcome is the same. There is no shuffle: the templates, a short fixed list, are literals.
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHINGLE, BANDS, WINDOWS = 5, 16, ((3, 1), (8, 4))
+SHINGLE, BANDS, TINY, WINDOWS = 5, 16, 5, ((3, 1), (8, 4))
 #: Names and notices of public licenses.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
@@ -36,6 +38,18 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
+#: Further passages of the same licenses; the SQL of op7 does not have them.
+PASSAGES = {
+    "MIT-notice-clause": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "MIT-disclaimer": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    "Apache-2.0-disclaimer": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "BSD-source-clause": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "BSD-binary-clause": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSD-disclaimer": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "GPL-disclaimer": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "ISC-disclaimer": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+}
 #: Notices shorter than a shingle. The SQL of op7 has no rows for them, so they have a query of their own.
 SHORT_NOTICES = {
     "All-rights-reserved": "All rights reserved.",
@@ -46,10 +60,15 @@ SHORT_NOTICES = {
 } | {f"SPDX-{k}": f"SPDX-License-Identifier: {k}" for k in ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "CC-BY-4.0", "CC-BY-NC-4.0")}
 
 
+#: White space with the signs at its side, or those at a text's ends; possessive, so linear in long runs of signs.
+_SIGN, _SPACE = "[^\\p{L}\\p{M}\\p{N}\\x20\\x09-\\x0D]", "[\\x20\\x09-\\x0D]"
+_CUT = f"(?:(?<!{_SIGN}){_SIGN}++)?{_SPACE}++{_SIGN}*+|^{_SIGN}++|(?<!{_SIGN}){_SIGN}++$"
+
+
 def _shingles(text: str) -> Column:
-    """Hashes of a text's shingles in order."""
+    """Hashes of a text's words in order."""
     folded = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.filter(F.split(folded, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    words = F.filter(F.split(folded, _CUT), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
@@ -99,17 +118,19 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, containment: floa
     given = given.where(F.size("s") > 0).select("name", "n", "s", _once(_minima("s", True)).alias("bands")).select("name", "n", F.array_distinct("s").alias("s"), "bands").collect()
     if not given:
         return df.limit(0).select(F.col(id_col).cast("long").alias(id_col), F.lit("").alias("license"), F.lit(0).alias("template_shingles"), F.lit(0).alias("shared_shingles"))
-    long = [t for t in given if t.n >= SHINGLE]
+    long = [t for t in given if len(t.s) > TINY]
+    tiny = sorted({x for t in given if t.n >= SHINGLE and len(t.s) <= TINY for x in t.s})
     short: dict[int, set[int]] = {}
     for t in given:
         if t.n < SHINGLE:
             short.setdefault(t.n, set()).update(t.s)
     all_shingles, all_bands = _longs(sorted({x for t in long for x in t.s})), _longs(sorted({x for t in long for x in t.bands}))
-    known = F.array(*(F.struct(F.lit(t.name).alias("name"), _longs(t.s).alias("s"), _longs(t.bands if t.n >= SHINGLE else []).alias("bands")) for t in given))
+    known = F.array(*(F.struct(F.lit(t.name).alias("name"), _longs(t.s).alias("s"), _longs(t.bands if len(t.s) > TINY else []).alias("bands")) for t in given))
     none = F.array().cast("array<bigint>")
     brief = [F.when(F.size("h") >= n, F.array_intersect(_windows("h", n), _longs(sorted(keys)))).otherwise(none) for n, keys in sorted(short.items())]
     rows = df.select(F.col(id_col).cast("long").alias(id_col), _once(_shingles(text_col)).alias("h"))
     rows = rows.select(id_col, "h", (_once(F.concat(*brief)) if brief else none).alias("brief")).select(id_col, "brief", _once(_combined("h")).alias("s"))
+    rows = rows.select(id_col, "s", _once(F.concat("brief", F.array_intersect("s", _longs(tiny)))).alias("brief"))
     rows = rows.where(F.arrays_overlap("s", all_shingles) | (F.size("brief") > 0))
     rows = rows.select(id_col, "s", "brief", _once(F.array_intersect(_minima("s", False), all_bands)).alias("hits")).where((F.size("hits") > 0) | (F.size("brief") > 0))
     rows = rows.select(id_col, "s", "brief", F.explode(F.filter(known, lambda t: F.arrays_overlap(t.bands, F.col("hits")) | F.arrays_overlap(t.s, F.col("brief")))).alias("t"))
@@ -118,7 +139,8 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, containment: floa
 
 
 def oracle(templates: dict[str, str] = TEMPLATES) -> str:
-    """Plain SQL for the same result: every text's shingles against every template's."""
+    """Plain SQL for the same result where words have the same signs at their ends as the templates' (elsewhere the
+    scan finds more): every text's shingles against every template's."""
     values = ", ".join(f"('{k}', '" + v.replace("'", "''") + "')" for k, v in templates.items())
     cut = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')".format
     grams = "CASE WHEN len(w) >= 5 THEN list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"

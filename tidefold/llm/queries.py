@@ -62,7 +62,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidefold.llm import license_scan
 
-    return license_scan.scan(table(spark, sf_dir, "documents"))
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.TEMPLATES | license_scan.PASSAGES)
 
 
 def op7_short_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
