@@ -6,7 +6,7 @@ import random
 import textwrap
 
 import corpus_pipeline
-from tidefold.llm import license_scan, queries, repetition
+from tidefold.llm import license_scan, queries, repetition, url_filter
 
 SF = "/root/testdata/sf0.001"
 FOREIGN = [
@@ -74,3 +74,16 @@ def test_commented_and_wrapped_license_headers_are_found(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r.doc_id, r.license) for r in queries.queries()["op7_license_scan"](spark, str(tmp_path)).collect()}
     assert got == {(0, "Apache-2.0"), (0, "Apache-2.0-notice"), (1, "MIT-permission"), (2, "BSD-3-endorsement"), (3, "GPL-disclaimer")}
+
+
+def test_suffix_statistics_count_all_labelled_rows(spark):
+    """Also where the trees are fitted on few of the urls, and where one url has a third of all rows."""
+    urls = [(f"http://a{k}.{'bad' if k % 2 else 'good'}.com/{k}", k % 2) for k in range(400)] + [("http://x.often.org/", 1)] * 200
+    labelled = spark.createDataFrame(urls, "url string, bad int")
+    model = url_filter.fit(labelled, most_labelled=100)
+    got = {r.suffix: (r.bad, r.n) for r in model.table.collect()}
+    assert got == {"com": (200, 400), "bad.com": (200, 200), "good.com": (0, 200), "org": (200, 200), "often.org": (200, 200)}
+    assert (model.stats.total, model.stats.prior) == (600, 400 / 600)
+    pages = spark.createDataFrame([(1, "http://z.bad.com/7"), (2, "http://z.good.com/8"), (3, None)], "page_id long, url string")
+    rows = {r.page_id: r.verdict for r in url_filter.judge(pages, [], model).collect()}
+    assert rows[1] == "block" and rows[2] == "allow" and len(rows) == 3

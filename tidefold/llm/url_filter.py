@@ -3,12 +3,13 @@
 Rules fit a host and its subdomains if the url's path starts with the rule's path; the longest fitting rule wins.
 Urls that no rule fits are judged by boosted trees with features of the url alone: length, depth, digit ratio,
 entropy, parameter count, the host's shape, and statistics of its suffixes (smoothed rates and counts of labelled
-urls under the last label and the last two). The trees are fitted on the driver on at most ``most_labelled``
-labelled urls, those of least hash, and travel as small arrays.
+urls under the last label and the last two). The statistics count all labelled rows: they are added up for each
+suffix and fold, stay a table, and are joined to the urls. The trees are fitted on the driver on at most
+``most_labelled`` distinct labelled urls, those of least hash, each weighted by its rows, and travel as small arrays.
 
 A null url, or one without ``://``, has empty host and path, fits no rule and is judged as the empty string.
-Urls are judged one by one, so repeats need nothing special; without labels of both kinds all scores are the
-share of bad labels (0 without labels). Scoring is a map step; other columns are not read.
+Urls are judged one by one; without labels of both kinds all scores are the
+share of bad labels (0 without labels). Scoring is a map step after the joins; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.shared import lean
+from tidefold.llm.shared import lean, written
 
 FOLDS = 5
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -70,6 +71,13 @@ class SuffixStatistics:
                 self.bad[s] += int(y)
                 self.all[s] += 1
 
+    @classmethod
+    def counted(cls, total: int, bad: int) -> SuffixStatistics:
+        """Of so many rows; the suffixes' counts are put in later."""
+        stats = cls([], np.zeros(0))
+        stats.total, stats.prior = total, bad / total if total else 0.0
+        return stats
+
     @staticmethod
     def suffixes(host: str) -> list[str]:
         labels = host.split(".")
@@ -95,8 +103,9 @@ def features(url: str | None, stats: SuffixStatistics) -> list[float]:
 class BoostedTrees:
     """Logistic boosting of depth-limited trees over histograms of at most 32 bins."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.15, least: int = 20, ridge: float = 5.0):
-        share = min(max(float(y.mean()), 1e-6), 1 - 1e-6) if len(y) else 1e-6
+    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.15, least: int = 20, ridge: float = 5.0, w: np.ndarray | None = None):
+        w = np.ones(len(y)) if w is None else w
+        share = min(max(float((w * y).sum() / w.sum()), 1e-6), 1 - 1e-6) if len(y) else 1e-6
         self.base, self.rate, self.depth, self.trees = math.log(share / (1 - share)), rate, depth, []
         if len(np.unique(y)) < 2:
             return
@@ -105,23 +114,23 @@ class BoostedTrees:
         score = np.full(len(y), self.base)
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-score))
-            tree, step = self._grow(bins, p - y, p * (1 - p), edges, least, ridge)
+            tree, step = self._grow(bins, w * (p - y), w * p * (1 - p), w, edges, least, ridge)
             score += rate * step
             self.trees.append(tree)
 
-    def _grow(self, bins: np.ndarray, g: np.ndarray, h: np.ndarray, edges: list[np.ndarray], least: int, ridge: float):  # noqa: ANN202
+    def _grow(self, bins: np.ndarray, g: np.ndarray, h: np.ndarray, w: np.ndarray, edges: list[np.ndarray], least: int, ridge: float):  # noqa: ANN202
         """A complete tree as (feature, threshold) of inner nodes in level order and leaf values."""
         n = 2**self.depth - 1
         feature, threshold, node = np.zeros(n, np.int64), np.full(n, np.inf), np.zeros(len(g), np.int64)
         for k in range(n):
             rows = np.flatnonzero(node == k)
             best = (1e-9, None)
-            G, H = g[rows].sum(), h[rows].sum()
-            for f, e in enumerate(edges) if len(rows) >= 2 * least else ():
+            G, H, W = g[rows].sum(), h[rows].sum(), w[rows].sum()
+            for f, e in enumerate(edges) if W >= 2 * least else ():
                 gs = np.cumsum(np.bincount(bins[rows, f], weights=g[rows], minlength=len(e) + 1))[:-1]
                 hs = np.cumsum(np.bincount(bins[rows, f], weights=h[rows], minlength=len(e) + 1))[:-1]
-                c = np.cumsum(np.bincount(bins[rows, f], minlength=len(e) + 1))[:-1]
-                gain = np.where((c >= least) & (len(rows) - c >= least), gs**2 / (hs + ridge) + (G - gs) ** 2 / (H - hs + ridge) - G**2 / (H + ridge), 0)
+                c = np.cumsum(np.bincount(bins[rows, f], weights=w[rows], minlength=len(e) + 1))[:-1]
+                gain = np.where((c >= least) & (W - c >= least), gs**2 / (hs + ridge) + (G - gs) ** 2 / (H - hs + ridge) - G**2 / (H + ridge), 0)
                 if len(gain) and gain.max() > best[0]:
                     best = float(gain.max()), (f, int(gain.argmax()))
             right = np.zeros(len(rows), dtype=bool)
@@ -146,6 +155,9 @@ class BoostedTrees:
 
 
 class UrlModel:
+    #: Suffixes with their counts, where they are not in stats.
+    table: DataFrame | None = None
+
     def __init__(self, urls: list[str], bad: list[int]):
         y = np.array(bad, dtype=np.float64)
         self.stats = SuffixStatistics(urls, y)
@@ -159,23 +171,82 @@ class UrlModel:
         return self.trees.predict(np.array([features(u, self.stats) for u in urls], dtype=np.float64)) if urls else np.zeros(0)
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bad and all rows of each suffix and fold; a null suffix stands for all rows of the fold."""
+    got: dict[tuple[str | None, int], list[int]] = {}
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in got], pa.string()), pa.array([k[1] for k in got], pa.int32()), pa.array([v[0] for v in got.values()], pa.int64()), pa.array([v[1] for v in got.values()], pa.int64())], ["suffix", "fold", "bad", "n"])
+
+    for b in batches:
+        for u, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for s in (None, *SuffixStatistics.suffixes(host_path(u)[0])):
+                v = got.setdefault((s, zlib.crc32(u.encode()) % FOLDS), [0, 0])
+                v[0], v[1] = v[0] + y, v[1] + 1
+        if len(got) > 100_000:
+            yield batch()
+            got = {}
+    if got:
+        yield batch()
+
+
 def fit(labelled: DataFrame, most_labelled: int = 20_000) -> UrlModel:
-    """Fit on rows (url string, bad int), at most that many, those of least hash."""
-    rows = labelled.where("url is not null and bad is not null").select("url", "bad", F.xxhash64("url", "bad").alias("k")).orderBy("k", "url").limit(most_labelled).collect()
-    return UrlModel([r.url for r in rows], [r.bad for r in rows])
+    """Fit on rows (url string, bad int): the statistics on all, the trees on at most that many distinct urls."""
+    spark = labelled.sparkSession
+    known = lean(labelled).where("url is not null and bad is not null").select("url", F.col("bad").cast("int").alias("bad"))
+    counts = written(known.mapInArrow(_count, "suffix string, fold int, bad long, n long").groupBy("suffix", "fold").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")), "suffix-counts")
+    folds = {r.fold: (r.n, r.bad) for r in counts.where("suffix is null").collect()}
+    total, bad = (sum(v[k] for v in folds.values()) for k in (0, 1))
+    rows = known.groupBy("url").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).orderBy(F.xxhash64("url"), "url").limit(most_labelled).collect()
+    model = UrlModel([], [])
+    model.stats = SuffixStatistics.counted(total, bad)
+    model.table = counts.where("suffix is not null").groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    if not rows:
+        return model
+    # A training url's suffix statistics come from the other folds, so its own label is not among its features.
+    others = [SuffixStatistics.counted(total - folds.get(k, (0, 0))[0], bad - folds.get(k, (0, 0))[1]) for k in range(FOLDS)]
+    needed = sorted({s for r in rows for s in SuffixStatistics.suffixes(host_path(r.url)[0])})  # two for each of the urls at most
+    for r in counts.join(F.broadcast(spark.createDataFrame([(s,) for s in needed], "suffix string")), "suffix", "left_semi").collect():
+        for k in range(FOLDS):
+            if k != r.fold:
+                others[k].bad[r.suffix] += r.bad
+                others[k].all[r.suffix] += r.n
+    x = np.array([features(r.url, others[zlib.crc32(r.url.encode()) % FOLDS]) for r in rows], dtype=np.float64)
+    # A url with labels of both kinds is two rows.
+    n, y = np.array([r.n for r in rows], dtype=np.float64), np.array([r.bad for r in rows], dtype=np.float64)
+    w = np.concatenate((n - y, y))
+    model.trees = BoostedTrees(np.concatenate((x, x))[w > 0], np.repeat([0.0, 1.0], len(n))[w > 0], w=w[w > 0])
+    return model
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], model: UrlModel, block_at: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """id_col, host, path, rule, verdict and score (probability of a bad url) of each url."""
-    table = Rules(rules)
+    table, stats, trees = Rules(rules), model.stats, model.trees
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = [SuffixStatistics.suffixes(host_path(u)[0]) for u in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([e[k] for e in ends], pa.string()) for k in (0, 1))], ["_i", "_u", "_s", "_t"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             urls = b.column(1).to_pylist()
-            score = model.score(urls)
+            for c in range(2, b.num_columns, 3):  # suffixes with their counts
+                for suffix, bad, n in zip(*(b.column(c + k).to_pylist() for k in range(3))):
+                    stats.bad[suffix], stats.all[suffix] = bad, n
+            score = trees.predict(np.array([features(u, stats) for u in urls], dtype=np.float64)) if urls else np.zeros(0)
+            if b.num_columns > 2:
+                stats.bad.clear()
+                stats.all.clear()
             parts = [host_path(u) for u in urls]
             found = [table.find(*p) for p in parts]
             verdict = [v or ("block" if s >= block_at else "allow") for (_, v), s in zip(found, score.tolist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p[0] for p in parts], pa.string()), pa.array([p[1] for p in parts], pa.string()), pa.array([f[0] for f in found], pa.string()), pa.array(verdict, pa.string()), pa.array(score, pa.float64())], [id_col, "host", "path", "rule", "verdict", "score"])
 
-    return lean(pages).select(F.col(id_col).cast("long").alias("_i"), F.col(url_col).alias("_u")).mapInArrow(run, f"{id_col} long, host string, path string, rule string, verdict string, score double")
+    urls = lean(pages).select(F.col(id_col).cast("long").alias("_i"), F.col(url_col).alias("_u"))
+    if model.table is not None:
+        urls = urls.mapInArrow(cut, "_i long, _u string, _s string, _t string")
+        for k in ("_s", "_t"):
+            urls = urls.join(model.table.select(F.col("suffix").alias(k), F.col("bad").alias(f"{k}b"), F.col("n").alias(f"{k}n")), k, "left")
+        urls = urls.select("_i", "_u", *(c for k in ("_s", "_t") for c in (F.col(k), F.coalesce(f"{k}b", F.lit(0)).alias(f"{k}b"), F.coalesce(f"{k}n", F.lit(0)).alias(f"{k}n"))))
+    return urls.mapInArrow(run, f"{id_col} long, host string, path string, rule string, verdict string, score double")
