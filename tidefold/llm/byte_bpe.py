@@ -1,12 +1,16 @@
 """Byte-level BPE over length-bucketed padded numpy matrices.
 
-Pretokens of about the same length are the rows of one matrix of token ids. In each round every row merges its
-leftmost pair of least rank; ranks come from a hashed table of pairs, each round shortens all rows by one, and
-rows without a pair left are taken out (compaction). Texts are cut at white space into words that the pattern
-treats alone, and the ids of words met before are reused.
+Pretokens of about the same length are the rows of one matrix of token ids, of a bounded number of cells. In each
+round every row merges its leftmost pair of least rank; ranks come from a hashed table of pairs, each round shortens
+the rows, and rows without a pair left are taken out (compaction). Rows of more than ``WIDE`` bytes merge all pairs
+of their least rank that do not overlap in one round, from the left and up to the first merge that makes a pair of
+lower rank, so the outcome is that of as many rounds of one merge each.
 
-Nulls and empty texts have no tokens; repeated rows and ties need nothing special. Pretokens of more than
-``LONG`` bytes are merged by the same rule with a heap, in n log n steps.
+Texts are cut at white space into words that the pattern treats alone, and the ids of words met before are reused,
+by their bytes.
+
+Nulls and empty texts have no tokens; a very long text is encoded whole, in a batch of its own; repeated rows, equal
+ids and ties need nothing special, and an empty table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +18,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,8 @@ from pyspark.sql import DataFrame
 from tidefold.llm.columnar import Memo, Words, blocks, flat, ragged
 from tidefold.llm.shared import lean
 
-LONG = 1024
+#: Longer rows merge several pairs in a round; cells of one matrix.
+WIDE, CELLS = 64, 1 << 21
 NONE = np.uint32(0xFFFFFFFF)
 #: White space beyond ASCII and control characters on which engines differ; with these a text is not cut first.
 ODD_SPACE = regex.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]")
@@ -46,7 +50,12 @@ class ByteBPE:
         self.token_len, self.token_at = lens, np.cumsum(lens) - lens
         self.token_bytes = np.frombuffer(b"".join(parts), dtype=np.uint8)
         pairs = [(ranks[a] << 32 | ranks[b], i) for t, i in ranks.items() for k in range(1, len(t)) if (a := t[:k]) in ranks and (b := t[k:]) in ranks]
-        self._table(np.array([p[0] for p in pairs], dtype=np.uint64), np.array([p[1] for p in pairs], dtype=np.uint32))
+        keys, merged = np.array([p[0] for p in pairs], dtype=np.uint64), np.array([p[1] for p in pairs], dtype=np.uint32)
+        #: Tokens that are part of a merge of lower rank than their own.
+        self.fertile = np.zeros(size, dtype=bool)
+        for part in (keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)):
+            self.fertile[part[merged < part].astype(np.int64)] = True
+        self._table(keys, merged)
         self.pretokens: dict[str, bytes] = {}
         self.memo = Memo(self._encode_words)
 
@@ -88,12 +97,11 @@ class ByteBPE:
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(parts)
         lens = np.array([len(p) for p in parts], dtype=np.int64)
         width = np.where(lens <= 24, lens, (2 ** (np.ceil(np.log2(np.maximum(lens, 1)) * 2) / 2)).astype(np.int64) + 1)
-        for w in np.unique(width[(lens > 0) & (lens <= LONG)]):
-            rows = np.flatnonzero((width == w) & (lens <= LONG))
-            for at in range(0, len(rows), 1 << 16):
-                self._bucket([parts[r] for r in rows[at : at + (1 << 16)]], int(lens[rows].max()), rows[at : at + (1 << 16)], lens, out)
-        for r in np.flatnonzero(lens > LONG):
-            out[r] = self._heap(parts[r])
+        for w in np.unique(width[lens > 0]):
+            rows, most = np.flatnonzero(width == w), max(1, min(1 << 16, CELLS // int(w)))
+            for at in range(0, len(rows), most):
+                some = rows[at : at + most]
+                (self._bucket if w <= WIDE else self._wide)([parts[r] for r in some], int(lens[some].max()), some, lens, out)
         return out
 
     def _bucket(self, parts: list[bytes], w: int, rows: np.ndarray, lens: np.ndarray, out: list[np.ndarray]) -> None:
@@ -127,29 +135,73 @@ class ByteBPE:
                 k = np.flatnonzero(ok)
                 rank[k, at[k]] = self.rank(ids[k, at[k]], ids[k, at[k] + 1])
 
-    def _heap(self, part: bytes) -> np.ndarray:
-        """The same rule for one long pretoken: least rank first, leftmost among equals."""
-        ids = self.byte_id[np.frombuffer(part, dtype=np.uint8)].tolist()
-        n, after, before, alive = len(ids), [*range(1, len(ids) + 1)], [*range(-1, len(ids) - 1)], [True] * len(ids)
-        first = self.rank(np.array(ids[:-1], np.uint32), np.array(ids[1:], np.uint32)).tolist()
-        heap = [(r, k, ids[k], ids[k + 1]) for k, r in enumerate(first) if r != NONE]
-        heapq.heapify(heap)
-        while heap:
-            r, k, a, b = heapq.heappop(heap)
-            if not alive[k] or ids[k] != a or (m := after[k]) >= n or ids[m] != b:
-                continue
-            ids[k], alive[m], after[k] = r, False, after[m]
-            if after[m] < n:
-                before[after[m]] = k
-            for x, y in ((before[k], k), (k, after[k])):
-                if x >= 0 and y < n and (q := int(self.rank(np.array([ids[x]], np.uint32), np.array([ids[y]], np.uint32))[0])) != NONE:
-                    heapq.heappush(heap, (q, x, ids[x], ids[y]))
-        return np.array([t for t, live in zip(ids, alive) if live], dtype=np.uint32)
+    def _wide(self, parts: list[bytes], w: int, rows: np.ndarray, lens: np.ndarray, out: list[np.ndarray]) -> None:
+        """Merged tokens keep their place and know their neighbours; once half of all places are empty, rows are
+        moved together."""
+        padded = np.frombuffer(b"".join(p.ljust(w, b"\0") for p in parts), dtype=np.uint8).reshape(len(parts), w)
+        ids, left = self.byte_id[padded], lens[rows].copy()
+        there = np.arange(w)[None, :] < left[:, None]
+        rank = np.full(ids.shape, NONE)
+        rank[:, :-1] = np.where(there[:, 1:], self.rank(ids[:, :-1], ids[:, 1:]), NONE)
+        to, back = self._neighbours(left, w)
+        while len(rows):
+            best = rank.min(axis=1)
+            live = best != NONE
+            if not live.all():
+                for k in np.flatnonzero(~live).tolist():
+                    out[rows[k]] = ids[k, there[k]]
+                ids, rank, to, back, there, rows, left, best = (x[live] for x in (ids, rank, to, back, there, rows, left, best))
+                if not len(rows):
+                    return
+            r, j = np.nonzero(rank == best[:, None])
+            # Of pairs that overlap, every second one from the left.
+            start = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (j[1:] != to[r[:-1], j[:-1]]))))
+            take = (np.arange(len(r)) - np.repeat(start, np.diff(np.append(start, len(r))))) % 2 == 0
+            r, j = r[take], j[take]
+            if self.fertile[best].any():
+                take = self._in_order(ids, to, back, best, r, j)
+                r, j = r[take], j[take]
+            second = to[r, j]
+            third = to[r, second]
+            ids[r, j], rank[r, second], there[r, second], to[r, j] = best[r], NONE, False, third
+            more = third < w
+            back[r[more], third[more]] = j[more]
+            rank[r, j] = np.where(more, self.rank(best[r], ids[r, np.where(more, third, 0)]), NONE)
+            first = back[r, j]
+            some = first >= 0
+            x, y = r[some], first[some]
+            rank[x, y] = self.rank(ids[x, y], ids[x, j[some]])
+            left = left - np.bincount(r, minlength=len(rows))
+            if 2 * int(left.max()) <= w:
+                x, y = np.nonzero(there)
+                place, w = (np.cumsum(there, axis=1) - 1)[x, y], int(left.max())
+                moved, ranks = np.zeros((len(rows), w), np.uint32), np.full((len(rows), w), NONE)
+                moved[x, place], ranks[x, place] = ids[x, y], rank[x, y]
+                ids, rank, there = moved, ranks, np.arange(w)[None, :] < left[:, None]
+                to, back = self._neighbours(left, w)
+
+    @staticmethod
+    def _neighbours(left: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+        """The next and the last place of each place; the width and -1 where there is none."""
+        place = np.arange(w, dtype=np.int64)[None, :]
+        return np.where(place + 1 < left[:, None], place + 1, w), np.repeat(place - 1, len(left), axis=0)
+
+    def _in_order(self, ids: np.ndarray, to: np.ndarray, back: np.ndarray, best: np.ndarray, r: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The merges of a round up to the first one of each row that makes a pair of lower rank than its own."""
+        w = ids.shape[1]
+        third = to[r, to[r, j]]
+        after = np.concatenate(([False], (r[1:] == r[:-1]) & (j[1:] == third[:-1])))  # right behind another merge
+        before = np.where(after, best[r], ids[r, back[r, j]])
+        lower = (back[r, j] >= 0) & (self.rank(before, best[r]) < best[r])
+        lower |= (third < w) & (self.rank(best[r], ids[r, np.minimum(third, w - 1)]) < best[r])
+        n = np.cumsum(lower) - lower  # such merges before each one
+        begins = np.concatenate(([True], r[1:] != r[:-1]))
+        return n == np.repeat(n[begins], np.diff(np.append(np.flatnonzero(begins), len(r))))
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split = [self.pattern.findall(w) for w in words]
         known = self.pretokens
-        if len(known) > 1_000_000:
+        if len(known) > 200_000:
             known.clear()
         new = list(dict.fromkeys(p for ps in split for p in ps if p not in known))
         fresh = dict(zip(new, (x.astype("<i4").tobytes() for x in self.merge([p.encode() for p in new]))))
@@ -160,7 +212,7 @@ class ByteBPE:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, and how many each text has."""
-        odd = [k for k, t in enumerate(texts.to_pylist()) if t and not t.isascii() and ODD_SPACE.search(t) or t and t.isascii() and ODD_SPACE.search(t)]
+        odd = [k for k, t in enumerate(texts.to_pylist()) if t and ODD_SPACE.search(t)]
         if not odd:
             return self.memo.tokens(Words(texts, fold=False, leading_space=True))
         mask = np.zeros(len(texts), dtype=bool)
@@ -196,7 +248,7 @@ def encode_decode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(rank_file, pattern)
-        for b in blocks(batches, "_t", 4 << 20):
+        for b in blocks(batches, "_t"):
             ids, counts = bpe.encode(b.column(1))
             raw, sizes = bpe.decode(ids, counts)
             wire, text = ids.astype("<u4").tobytes(), raw.tobytes()
@@ -211,7 +263,8 @@ def encode_decode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "do
                 names.append("decoded")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return lean(df).select(df[id_col].cast("long").alias("_i"), df[text_col].alias("_t")).mapInArrow(run, schema)
+    df = lean(df)
+    return df.select(df[id_col].cast("long").alias("_i"), df[text_col].alias("_t")).mapInArrow(run, schema)
 
 
 __all__ = ["ByteBPE", "encode_decode", "encoder", "flat"]

@@ -1,7 +1,8 @@
 """Vectorised text primitives over Arrow string arrays.
 
-Everything here works on whole batches of UTF-8 bytes: words are found with byte tables, hashed with a prefix
-sum of a polynomial modulo 2**64, and grouped with sorted runs, so no Python loop runs per word.
+Everything here works on whole batches of UTF-8 bytes: words are found with byte tables, hashed eight bytes at a time
+and grouped with sorted runs, so no Python loop runs per word. Where equality of words decides a result,
+``Words.distinct`` compares the bytes behind equal hashes.
 """
 
 from __future__ import annotations
@@ -16,26 +17,20 @@ U64 = np.uint64
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_rng = np.random.default_rng(20240517)
-_RAW = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-_FOLDED = _RAW.copy()
-_FOLDED[65:91] = _RAW[97:123]
-_BASE = U64(0x9E3779B97F4A7C15)
-_BASE_INV = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Lower case of ASCII letters, and of the second bytes of Latin-1 letters.
+_LATIN = _LOWER.copy()
+_LATIN[0x80:0x9F] += 0x20
 _GRAM = U64(0xD1342543DE82EF95)
-_powers: dict[str, np.ndarray] = {}
-#: Words longer than this are hashed by xxh3 from their bytes instead of the polynomial.
+_STEP = U64(0x9E3779B97F4A7C15)
+_LENGTH = U64(0xA0761D6478BD642F)
+#: What of eight bytes belongs to a word of 0 to 8 more bytes.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
+#: Words longer than this are hashed by xxh3 and compared as byte strings, one at a time.
 LONG_WORD = 64
 
 
-def _power(base: U64, name: str, n: int) -> np.ndarray:
-    if name not in _powers or len(_powers[name]) < n:
-        p = np.full(max(n, 1 << 16), base, dtype=U64)
-        p[0] = 1
-        _powers[name] = np.multiply.accumulate(p)
-    return _powers[name][:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values (xor-shift and odd multiplications)."""
     h = (h ^ (h >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -98,11 +93,31 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(values)))
 
 
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, as one little-endian number (zeros beyond the end)."""
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    return np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, lens: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans with the given first eight bytes."""
+    eights = _eights(raw)
+    h = mix(heads ^ mix(lens.astype(U64) * _LENGTH))
+    todo, at = np.flatnonzero((lens > 8) & (lens <= LONG_WORD)), 8
+    while len(todo):
+        h[todo] = mix(h[todo] * _STEP + (eights[starts[todo] + at] & _MASK[np.minimum(lens[todo] - at, 8)]))
+        at += 8
+        todo = todo[lens[todo] > at]
+    for k in np.flatnonzero(lens > LONG_WORD):
+        h[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : starts[k] + lens[k]].tobytes())
+    return h
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of each row: byte spans, row numbers and 64-bit hashes."""
 
     def __init__(self, arr: pa.Array, fold: bool, leading_space: bool = False):
-        """fold: A-Z hash as a-z. leading_space: a span also holds the white space before the word (and a text's
+        """fold: A-Z count as a-z. leading_space: a span also holds the white space before the word (and a text's
         trailing white space is a span of its own), so the spans cover every byte."""
         raw, at = flat(arr)
         n = len(raw)
@@ -122,26 +137,60 @@ class Words:
             after = np.ones(n, dtype=bool)
             after[:-1] = space[1:]
             self.ends = np.flatnonzero(~space & (after | first[1:])) + 1
-        self.row = np.searchsorted(at, self.starts, side="right") - 1
-        table = _FOLDED if fold else _RAW
-        sums = np.zeros(n + 1, dtype=U64)
-        np.cumsum(table[raw] * _power(_BASE, "p", n), out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * _power(_BASE_INV, "i", n + 1)[self.starts]
-        lens = self.ends - self.starts
-        self.hash = mix(h + lens.astype(U64) * U64(0xA0761D6478BD642F))
-        for k in np.flatnonzero(lens > LONG_WORD):
-            b = raw[self.starts[k] : self.ends[k]].tobytes()
-            self.hash[k] = xxhash.xxh3_64_intdigest(b.translate(_LOWER) if fold else b)
+        self._hashed(_LOWER[raw] if fold else raw)
+
+    def _hashed(self, canon: np.ndarray) -> None:
+        """canon: the bytes that words are equal by."""
+        self.canon, self.lens = canon, self.ends - self.starts
+        self.row = np.searchsorted(self.at, self.starts, side="right") - 1
+        self.heads = _eights(canon)[self.starts] & _MASK[np.minimum(self.lens, 8)]
+        self.hash = span_hashes(canon, self.starts, self.lens, self.heads)
         self.counts = np.bincount(self.row, minlength=self.rows)
         self.first = np.cumsum(self.counts) - self.counts
 
-    def text(self, k: int) -> str:
-        return self.raw[self.starts[k] : self.ends[k]].tobytes().decode("utf-8", "replace")
+    def key(self, k: int) -> bytes:
+        return self.canon[self.starts[k] : self.ends[k]].tobytes()
+
+    def _same_rest(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether words a[k] and b[k], of the same length and first eight bytes, are the same."""
+        out = np.ones(len(a), dtype=bool)
+        eights, at = _eights(self.canon), 8
+        todo = np.flatnonzero((self.lens[a] > 8) & (self.lens[a] <= LONG_WORD))
+        while len(todo):
+            x, y = a[todo], b[todo]
+            equal = (eights[self.starts[x] + at] ^ eights[self.starts[y] + at]) & _MASK[np.minimum(self.lens[x] - at, 8)] == 0
+            out[todo[~equal]] = False
+            at += 8
+            todo = todo[equal & (self.lens[x] > at)]
+        for k in np.flatnonzero(self.lens[a] > LONG_WORD):
+            out[k] = self.key(a[k]) == self.key(b[k])
+        return out
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each word, the same for equal words and no others, and one word of each number."""
+        order = np.argsort(self.hash)
+        hashes, lens, heads = self.hash[order], self.lens[order], self.heads[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        same = np.zeros(len(order), dtype=bool)
+        same[1:] = (lens[1:] == lens[:-1]) & (heads[1:] == heads[:-1])
+        k = np.flatnonzero(~new & same & (lens > 8))
+        same[k] = self._same_rest(order[k - 1], order[k])
+        bad = np.flatnonzero(~new & ~same)
+        if len(bad):  # equal hashes of different words: their run is told apart by the bytes
+            start = np.append(np.flatnonzero(new), len(order))
+            for r in np.unique(np.searchsorted(start, bad, side="right") - 1):
+                run = sorted(order[start[r] : start[r + 1]].tolist(), key=self.key)
+                order[start[r] : start[r + 1]] = run
+                new[start[r] + 1 : start[r + 1]] = [self.key(x) != self.key(y) for x, y in zip(run, run[1:])]
+        number = np.empty(len(order), dtype=np.int64)
+        number[order] = np.cumsum(new) - 1
+        return number, order[new]
 
 
 class Pieces(Words):
     """Words of ASCII and Latin-1 letters cut further into runs of letters, single digits and runs of others, with
-    letters of both cases hashed alike; words with an apostrophe or any other character stay whole."""
+    letters of both cases alike; words with an apostrophe or any other character stay whole."""
 
     def __init__(self, arr: pa.Array):
         raw, at = flat(arr)
@@ -154,25 +203,21 @@ class Pieces(Words):
         begins = kind != 0
         begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2) | first[1:n]
         odd = np.flatnonzero(kind == 4)
-        whole = np.zeros(0, np.int64)
+        canon = _LATIN[raw]
         if len(odd):
             inside = np.diff(np.concatenate(([False], kind != 0, [False])).astype(np.int8))
             starts = np.union1d(np.flatnonzero(inside == 1), at[:-1])
             stops = np.append(np.flatnonzero(inside == -1), n)
             whole = np.unique(starts[np.searchsorted(starts, odd, side="right") - 1])
             ends = np.minimum(stops[np.searchsorted(stops, whole, side="right")], np.append(at, n)[np.searchsorted(at, whole, side="right")])
-            begins[ragged(whole, ends - whole)] = False
+            covered = ragged(whole, ends - whole)
+            begins[covered] = False
             begins[whole] = True
+            canon[covered] = raw[covered]
         stops = kind != 0
         stops[:-1] &= (kind[1:] == 0) | begins[1:] | first[1:n]
         self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-        self.row = np.searchsorted(at, self.starts, side="right") - 1
-        sums = np.zeros(n + 1, dtype=U64)
-        np.cumsum(_LATIN[raw] * _power(_BASE, "p", n), out=sums[1:])
-        lens = self.ends - self.starts
-        self.hash = mix((sums[self.ends] - sums[self.starts]) * _power(_BASE_INV, "i", n + 1)[self.starts] + lens.astype(U64) * U64(0xA0761D6478BD642F))
-        for k in np.union1d(np.searchsorted(self.starts, whole), np.flatnonzero(lens > LONG_WORD)):
-            self.hash[k] = xxhash.xxh3_64_intdigest(raw[self.starts[k] : self.ends[k]].tobytes())
+        self._hashed(canon)
 
 
 #: 0 space, 1 bytes of letters, 2 digit, 3 other, 4 what makes a word stay whole.
@@ -182,10 +227,6 @@ _KIND[39] = 4
 _KIND[48:58] = 2
 _KIND[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = 1
 _KIND[SPACE] = 0
-_LATIN = _FOLDED.copy()
-_LATIN[0x80:0x9F] = _RAW[0xA0:0xBF]
-
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -235,42 +276,72 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class Memo:
-    """Token arrays of words by hash, grown batch by batch and emptied when full, so its memory is bounded."""
+    """Token arrays of words, found by hash and then compared by their bytes; grown batch by batch and emptied when
+    full, so its memory is bounded."""
 
-    def __init__(self, encode, most: int = 1_500_000):
-        self.encode, self.most = encode, most
+    def __init__(self, encode, most: int = 500_000, most_bytes: int = 1 << 24):
+        self.encode, self.most, self.most_bytes = encode, most, most_bytes
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.off, self.len = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+        self.text, self.filled = np.zeros(1 << 16, np.uint8), 0
+
+    def _known(self, words: Words, first: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which words are those at the given entries, by their bytes."""
+        out = np.zeros(len(first), dtype=bool)
+        k = np.flatnonzero(at < len(self.keys))
+        out[k] = (self.keys[at[k]] == words.hash[first[k]]) & (self.size[at[k]] == words.lens[first[k]])
+        mine, theirs, done, todo = _eights(words.canon), _eights(self.text), 0, np.flatnonzero(out)
+        while len(todo):
+            w, k = first[todo], at[todo]
+            equal = (mine[words.starts[w] + done] ^ theirs[self.at[k] + done]) & _MASK[np.minimum(words.lens[w] - done, 8)] == 0
+            out[todo[~equal]] = False
+            done += 8
+            todo = todo[equal & (words.lens[w] > done)]
+        return out
 
     def tokens(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in order, and their number for each row."""
         if not len(words.hash):
             return np.zeros(0, np.int32), np.zeros(words.rows, np.int64)
-        if len(self.keys) > self.most:
+        if len(self.keys) > self.most or max(self.filled, self.used) > self.most_bytes:
             self.clear()
-        order = np.argsort(words.hash)
-        begins, lens = runs(words.hash[order])
-        first, inverse = order[begins], np.empty(len(order), np.int64)
-        uniq, inverse[order] = words.hash[first], np.repeat(np.arange(len(begins)), lens)
-        at = np.searchsorted(self.keys, uniq)
-        known = np.zeros(len(uniq), dtype=bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == uniq[inside]
-        if not known.all():
-            new = np.flatnonzero(~known)
-            raw, starts, ends = words.raw.tobytes(), words.starts[first[new]].tolist(), words.ends[first[new]].tolist()
-            ids, lens = self.encode([raw[s:e].decode("utf-8", "replace") for s, e in zip(starts, ends)])
-            if self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate((self.pool[: self.used], ids, np.zeros(self.used + len(ids), np.int32)))
-            else:
-                self.pool[self.used : self.used + len(ids)] = ids
-            offs = self.used + np.cumsum(lens) - lens
-            self.used += len(ids)
-            self.keys, self.off, self.len = np.insert(self.keys, at[new], uniq[new]), np.insert(self.off, at[new], offs), np.insert(self.len, at[new], lens)
-            at = np.searchsorted(self.keys, uniq)
-        at = at[inverse]
-        lens = self.len[at]
-        return self.pool[ragged(self.off[at], lens)], np.bincount(words.row, weights=lens, minlength=words.rows).astype(np.int64)
+        number, first = words.distinct()
+        hashes = words.hash[first]
+        at = np.searchsorted(self.keys, hashes)
+        known = self._known(words, first, at)
+        off, lens = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        off[known], lens[known] = self.off[at[known]], self.len[at[known]]
+        pool, new = self.pool, np.flatnonzero(~known)
+        if len(new):
+            raw, starts, ends = words.raw.tobytes(), words.starts[first[new]], words.ends[first[new]]
+            ids, lens[new] = self.encode([raw[s:e].decode("utf-8", "replace") for s, e in zip(starts.tolist(), ends.tolist())])
+            off[new] = self.used + np.cumsum(lens[new]) - lens[new]
+            self.pool, self.used = _extended(self.pool, self.used, ids), self.used + len(ids)
+            pool = self.pool
+            # Kept are words of LONG_WORD bytes at most, whose hash no other word has here.
+            alone = np.ones(len(new), dtype=bool)
+            alone[1:] &= hashes[new][1:] != hashes[new][:-1]
+            taken = np.zeros(len(new), dtype=bool)
+            k = np.flatnonzero(at[new] < len(self.keys))
+            taken[k] = self.keys[at[new[k]]] == hashes[new[k]]
+            kept = alone & ~taken & (words.lens[first[new]] <= LONG_WORD)
+            add, size = new[kept], words.lens[first[new[kept]]]
+            text = words.canon[ragged(words.starts[first[add]], size)]
+            place = self.filled + np.cumsum(size) - size
+            self.text, self.filled = _extended(self.text, self.filled, text), self.filled + len(text)
+            where = at[add]
+            self.keys, self.off, self.len, self.at, self.size = (np.insert(x, where, y) for x, y in ((self.keys, hashes[add]), (self.off, off[add]), (self.len, lens[add]), (self.at, place), (self.size, size)))
+        lens = lens[number]
+        return pool[ragged(off[number], lens)], np.bincount(words.row, weights=lens, minlength=words.rows).astype(np.int64)
+
+
+def _extended(pool: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """The pool with more values behind those in use, in a larger array where they do not fit."""
+    if used + len(more) > len(pool):
+        return np.concatenate((pool[:used], more, np.zeros(used + len(more), pool.dtype)))
+    pool[used : used + len(more)] = more
+    return pool

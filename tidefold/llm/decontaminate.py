@@ -143,7 +143,8 @@ def _item_blocks(items: DataFrame, item_col: str, text_col: str, shingle: int) -
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, containment: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id_col, item_col, item_shingles, shared_shingles) of each document and item it contains."""
-    thin = lean(docs).select(docs[id_col].cast("long").alias("_i"), docs[text_col].alias("_t"))
+    docs = lean(docs)
+    thin = docs.select(docs[id_col].cast("long").alias("_i"), docs[text_col].alias("_t"))
     schema = f"{id_col} long, {item_col} long, item_shingles long, shared_shingles long"
 
     def search(items: Items):  # noqa: ANN202

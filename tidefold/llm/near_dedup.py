@@ -10,12 +10,19 @@ Texts of equal sets are one node, so exact copies cost nothing. No bucket's pair
 node, the pivot, is compared with all other members, and components are formed. What is left are buckets whose
 members, the pivot aside, lie in several components: there every member outside the largest component is compared
 with all members of other components. In buckets of up to ``SMALL`` nodes these pairs are listed, each once for all
-buckets; in larger ones such members and all members are dealt out to blocks of bounded size, and each pair of
-blocks gives its intersections as one matrix product, of which only links come out. So no link that shares a
-bucket is lost, whatever the bucket's size, and no task holds more than two blocks.
-
-Null and empty texts have the empty set: no links, their own component. Documents of equal ids are judged by their
-texts; null ids link as others do, and a component's id is its least id that is not null. Other columns are unread.
+buckets; in larger ones such members and all members are dealt out to blocks of bounded size. In a block too the
+registers are compared first, the likelihood of their counts decides which pairs are in question, and these alone
+are decided on the full sets, by one matrix product. Of a block's pairs only links come out. So no link that shares a
+bucket is lost, whatever the bucket's size, and no task holds more than two blocks. The work in a large bucket still
+grows with the product of its members and of those outside its largest component.
+
+What is joined with an aggregate of itself is joined with that aggregate as a written table, so adaptive execution can
+split the joins of hot keys. Tables are removed once nothing reads them; the result reads two of them.
+
+Null and empty texts have the empty set: no links, their own component. Very long texts are sketched and compared
+whole, in batches of their own. Documents of equal ids are judged by their texts, so repeated rows are copies of each
+other; null ids link as others do, and a component's id is its least id that is not null. An empty table gives no
+rows. Other columns are unread, whatever their names, and pass through ``deduplicated``.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidefold.llm.columnar import U64, Shingles, Words, blocks, mix, overlap, runs
 from tidefold.llm.components import components
-from tidefold.llm.shared import lean, unused, written
+from tidefold.llm.shared import forget, lean, unused, written
 
 BASE, RATE, TOP, CERTAIN = 1.001, 20.0, 65535, 20.0
 #: Nodes of a small bucket; nodes and shingles of a block; tasks that a large bucket's members are spread over.
@@ -59,11 +66,8 @@ def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least
     u = n_a / (n_a + n_b)
     v = 1 - u
 
-    def p(x: np.ndarray) -> np.ndarray:
-        return -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
-
     def log_likelihood(j: np.ndarray) -> np.ndarray:
-        q, r = p(u - v * j), p(v - u * j)
+        q, r = _differs(u - v * j), _differs(v - u * j)
         return above * np.log(np.maximum(q, 1e-12)) + below * np.log(np.maximum(r, 1e-12)) + equal * np.log(np.maximum(1 - q - r, 1e-12))
 
     top = np.minimum(u / v, v / u)
@@ -76,6 +80,39 @@ def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least
     return (best >= least) | (log_likelihood(best) - log_likelihood(np.minimum(least, top)) < CERTAIN)
 
 
+def in_question(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Which of all pairs of two blocks of sketches may reach the similarity: those that ``likely`` keeps, after a
+    bound that drops most others. The bound is the best likelihood that any probabilities could have."""
+    above = np.zeros((len(a), len(b)), dtype=np.int16)
+    below = np.zeros_like(above)
+    for k in range(a.shape[1]):
+        x, y = a[:, k, None], b[None, :, k]
+        above += x > y
+        below += x < y
+    n = a.shape[1]
+    shares = np.log(np.maximum(np.arange(n + 1), 1) / n) * np.arange(n + 1)
+    size_a, size_b = np.broadcast_to(n_a[:, None], above.shape), np.broadcast_to(n_b[None, :], above.shape)
+    out = np.minimum(size_a, size_b) * 100 >= np.maximum(size_a, size_b) * percent
+    i, j = np.nonzero(out)
+    more, less, least = above[i, j].astype(np.int64), below[i, j].astype(np.int64), percent / 100
+    u = size_a[i, j] / (size_a[i, j] + size_b[i, j])
+    q, r = _differs(u - (1 - u) * least), _differs(1 - u - u * least)
+    at_least = more * np.log(np.maximum(q, 1e-12)) + less * np.log(np.maximum(r, 1e-12)) + (n - more - less) * np.log(np.maximum(1 - q - r, 1e-12))
+    bound = shares[more] + shares[less] + shares[n - more - less]
+    # Fewer differences than expected at the least similarity: the estimate is above it.
+    out[i, j] = (more + less <= n * (q + r)) | (bound - at_least < CERTAIN)
+    i, j = np.nonzero(out)
+    for at in range(0, len(i), 1 << 14):
+        x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+        out[x, y] = likely(a[x], b[y], n_a[x].astype(np.float64), n_b[y].astype(np.float64), least)
+    return out
+
+
+def _differs(x: np.ndarray) -> np.ndarray:
+    """Probability that a register is greater on one side, from that side's share of its own elements."""
+    return -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
+
+
 def _node(s: Shingles) -> tuple[np.ndarray, np.ndarray]:
     """128 bits that tell a set: two sums of its hashes."""
     out = np.zeros((len(s.sizes), 2), dtype=U64)
@@ -116,7 +153,8 @@ def _keyed(df: DataFrame, id_col: str, text_col: str, row: str = "_row", hash_:
 
 def grouped(df: DataFrame, shingle: int, percent: int, registers: int = 128, band_rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, row, hash, n, node) of all documents, and (node, comp, component_id, n_copies) of all nodes."""
-    keyed = _keyed(lean(df).select(df[id_col], df[text_col]), id_col, text_col)
+    df = lean(df)
+    keyed = _keyed(df.select(df[id_col], df[text_col]), id_col, text_col)
     thin = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col("_row").alias("row"), F.col("_hash").alias("hash"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +164,7 @@ def grouped(df: DataFrame, shingle: int, percent: int, registers: int = 128, ban
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(s.sizes), _binary(node), _binary(sketches(s, registers))], ["doc_id", "row", "hash", "n", "node", "sketch"])
 
     rows = written(thin.select("doc_id", "row", "hash", "text").mapInArrow(sketch, "doc_id long, row long, hash long, n long, node binary, sketch binary"), "sketches")
-    nodes = written(rows.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "nodes")
+    nodes = written(rows.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.min("sketch").alias("sketch"), F.min("doc_id").alias("least"), F.count("*").alias("n_copies")), "nodes")
     bands = registers // band_rows
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +177,7 @@ def grouped(df: DataFrame, shingle: int, percent: int, registers: int = 128, ban
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), bands)))], ["key", "node"])
 
     banded = nodes.select("node", "sketch").mapInArrow(band, "key long, node binary")
-    shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    shared = written(banded.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("pivot")).where("c > 1").select("key", "pivot"), "buckets")
     members = written(banded.join(shared, "key"), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "row"), "node").select("row").distinct()
 
@@ -177,51 +215,63 @@ def grouped(df: DataFrame, shingle: int, percent: int, registers: int = 128, ban
     def pair(x: str, y: str) -> list:
         return [F.greatest(x, y).alias("u"), F.least(x, y).alias("v")]
 
-    pivots = members.groupBy("key").agg(F.min("node").alias("pivot"))
-    aimed = members.join(pivots, "key").where("node != pivot")
-    label = written(components(linked(aimed.select(*pair("node", "pivot")).distinct())).select("node", F.col("component").alias("comp")), "labels")
+    aimed = members.where("node != pivot")
+    stars = components(linked(aimed.select(*pair("node", "pivot")).distinct()))
+    label = written(stars.select("node", F.col("component").alias("comp")), "labels")
+    forget(shared, stars)
 
     now = aimed.select("key", "node").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     parts = now.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    open_ = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("size"), F.count("*").alias("n_comps")).where("n_comps > 1")
-    rest = written(now.join(open_.select("key", "size", F.col("top.comp").alias("main")), "key").withColumn("alone", F.col("comp") != F.col("main")), "open")
+    open_ = written(parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("size"), F.count("*").alias("n_comps")).where("n_comps > 1").select("key", "size", F.col("top.comp").alias("main")), "open-buckets")
+    rest = written(now.join(open_, "key").withColumn("alone", F.col("comp") != F.col("main")), "open")
+    forget(members, open_)
     few = rest.where(F.col("size") <= SMALL)
     alone = few.where("alone").select("key", F.col("node").alias("other"), F.col("comp").alias("to"))
     listed = few.join(alone, "key").where("comp != to").select(*pair("node", "other")).distinct()
 
-    many = rest.where(F.col("size") > SMALL).join(sets.select("node", "shingles"), "node")
+    many = rest.where(F.col("size") > SMALL).join(sets, "node")
     span = many.groupBy("key").agg(*(F.greatest(F.lit(1), F.ceil(F.sum(F.when(x, 1)) / BLOCK_NODES), F.ceil(F.sum(F.when(x, F.octet_length("shingles"))) / (8 * BLOCK_SHINGLES))).cast("int").alias(n) for x, n in ((F.col("alone"), "a"), (F.lit(True), "m"))))
     # A key's members are spread over SALTS tasks to meet its counts: one bucket may hold a large share of all nodes.
     span = span.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    dealt = many.select("key", "node", "comp", "alone", "shingles", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SALTS)).alias("salt")).join(span, ["key", "salt"])
+    dealt = many.select("key", "node", "comp", "alone", "shingles", "sketch", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SALTS)).alias("salt")).join(span, ["key", "salt"])
     of = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
-    sides = dealt.where("alone").select("key", of("a", 1).alias("x"), every("m").alias("y"), F.lit(True).alias("first"), "comp", "shingles").union(dealt.select("key", every("a").alias("x"), of("m", 2).alias("y"), F.lit(False), "comp", "shingles"))
+    sides = dealt.where("alone").select("key", of("a", 1).alias("x"), every("m").alias("y"), F.lit(True).alias("first"), "comp", "shingles", "sketch").union(dealt.select("key", every("a").alias("x"), of("m", 2).alias("y"), F.lit(False), "comp", "shingles", "sketch"))
 
     def block(t: pa.Table) -> pa.Table:
         first, comp = np.array(t.column("first").to_pylist(), dtype=bool), np.array(t.column("comp").to_pylist(), dtype=object)
         own = [np.frombuffer(x, dtype=U64) for x in t.column("shingles").to_pylist()]
+        n = np.array([len(x) for x in own], dtype=np.int64)
+        registers = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint16).reshape(len(own), -1)
         a, b = np.flatnonzero(first), np.flatnonzero(~first)
         found: set[tuple[bytes, bytes]] = set()
         if len(a) and len(b):
-            n = np.array([len(x) for x in own], dtype=np.int64)
+            asked = in_question(registers[a], registers[b], n[a], n[b], percent) & (comp[a][:, None] != comp[b][None, :])
+            a, b, asked = a[asked.any(axis=1)], b[asked.any(axis=0)], asked[asked.any(axis=1)][:, asked.any(axis=0)]
+        if len(a) and len(b):
             same = shared_counts([own[k] for k in a], [own[k] for k in b]).astype(np.int64)
-            i, j = np.nonzero(100 * same >= percent * (n[a][:, None] + n[b][None, :] - same))
-            found = {(x, y) if x > y else (y, x) for x, y in zip(comp[a[i]], comp[b[j]]) if x != y}
+            i, j = np.nonzero(asked & (100 * same >= percent * (n[a][:, None] + n[b][None, :] - same)))
+            found = {(x, y) if x > y else (y, x) for x, y in zip(comp[a[i]], comp[b[j]])}
         return pa.table({"u": pa.array([x[0] for x in found], pa.binary()), "v": pa.array([x[1] for x in found], pa.binary())})
 
     late = linked(listed).union(sides.groupBy("key", "x", "y").applyInArrow(block, "u binary, v binary").distinct())
     of_u = label.select(F.col("node").alias("u"), F.col("comp").alias("cu"))
     of_v = label.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
     joined = late.join(of_u, "u", "left").join(of_v, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-    more = written(components(joined).select(F.col("node").alias("comp"), F.col("component").alias("least")), "merged")
+    both = components(joined)
+    more = written(both.select(F.col("node").alias("comp"), F.col("component").alias("least")), "merged")
+    forget(rest, sets, both)
     old = label.join(more, "comp", "left").select("node", F.coalesce("least", "comp").alias("comp"))
     new = more.join(label.select(F.col("node").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("node"), F.col("least").alias("comp"))
-    label = written(old.union(new), "labels")
-    found = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
-    found = found.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    found = found.join(found.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "comp", "component_id", "n_copies")
-    return rows, found
+    last = written(old.union(new), "labels")
+    forget(label, more)
+    found = nodes.select("node", "least", "n_copies").join(last, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    found = written(found, "found")
+    forget(last, nodes)
+    firsts = written(found.groupBy("comp").agg(F.min("least").alias("component_id")), "components")
+    back = written(found.join(firsts, "comp").select("node", "comp", "component_id", "n_copies"), "nodes")
+    forget(found, firsts)
+    return rows, back
 
 
 def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,6 +289,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
 
 def deduplicated(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The frame with one document of each group: the one of least id, null ids last. Texts without words stay."""
+    df = lean(df)
     rows, found = grouped(df, shingle, percent, id_col=id_col, text_col=text_col)
     first = rows.where("n > 0").join(found.select("node", "comp"), "node").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), "row", "hash")).alias("m"))
     row, hash_ = unused(df, "row"), unused(df, "hash")

@@ -68,8 +68,8 @@ FROM d LEFT JOIN best b USING (r)
 """
 
 
-def quality(least_words: int = 50, repeat_percent: int = 50, min_words: int = 8, max_covered: float = 0.4, max_repeat: float = 0.25, levels: int = 16) -> str:
-    """Texts of fewer than 2 ** levels words. Windows of 2 ** k words get numbers by doubling, and the longest repeat
+def quality(least_words: int = 50, repeat_percent: int = 50, min_words: int = 8, max_covered: float = 0.3, max_repeat: float = 0.15, most_repeat: int = 100, levels: int = 16) -> str:
+    """Texts of fewer than 2 ** levels words (65,536; the longest text of sf0.1 has 20,000). Windows of 2 ** k words get numbers by doubling, and the longest repeat
     of each text is put together from them bit by bit; the repeats' spans are all windows of min_words seen twice."""
 
     def seen_twice(n: int, name: str) -> str:
@@ -102,6 +102,6 @@ m AS (SELECT doc_id, n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+',
   FROM d JOIN lines USING (r) LEFT JOIN three_n t USING (r) LEFT JOIN many_n USING (r) LEFT JOIN longest g USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_fraction, longest_repeat,
   n_words < {least_words} OR 100 * n_repeat_words > {repeat_percent} * n_words AS base_failed,
-  NOT (n_words < {least_words} OR 100 * n_repeat_words > {repeat_percent} * n_words) AND covered_fraction <= CAST({max_covered} AS DOUBLE) AND longest_repeat <= CAST({max_repeat} AS DOUBLE) * n_words AS kept
+  NOT (n_words < {least_words} OR 100 * n_repeat_words > {repeat_percent} * n_words) AND covered_fraction <= CAST({max_covered} AS DOUBLE) AND longest_repeat <= CAST({max_repeat} AS DOUBLE) * n_words AND longest_repeat <= {most_repeat} AS kept
 FROM m
 """

@@ -1,18 +1,22 @@
 """Quality rules with suffix-array repetition.
 
 The suffix array of each text's words is built by prefix doubling for a whole batch of texts at once, where only
-groups that are not yet told apart are sorted again. Neighbours in it give longest common prefixes; those of
+groups that are not yet told apart are sorted again. Words are numbers that only equal words share, so nothing here
+rests on a hash. Longest common prefixes of neighbours are counted word by word where they cannot be derived: if the
+words before two neighbours are equal too, theirs is one less than the one before (Kärkkäinen, Manzini and Puglisi,
+Permuted Longest-Common-Prefix Array, 2009), and the others add up to n log n words at most. Prefixes of
 ``min_words`` or more are the intervals of maximal repeated substrings. The union of all their spans, first
 occurrences included, gives the covered fraction of the words' bytes, and the longest of them the longest repeat.
 A text is rejected if it has few words, if words of repeated 3-word windows prevail, if the covered fraction is
 over ``max_covered``, or if the longest repeat is over ``max_repeat`` of its words or over ``most_repeat`` words.
 
-The default limits are those of op9's SQL. They hardly act beyond the base rule: all words of a repeat are words of
-repeated 3-word windows, so at most half of a text's words are covered where that rule holds. ``STRICT`` limits
-act below it; the pipeline takes them.
+All words of a repeat are words of repeated 3-word windows, so at most half of a text's words are covered where the
+base rule holds; the limits of ``Rules`` act below that.
 
-Null and empty texts have no words and fail the base rules. Texts are judged one by one, so repeated rows and ids
-need nothing special. There is no shuffle; other columns pass through ``keep`` unchanged.
+Null and empty texts have no words and fail the base rules; a very long text is judged whole, in a batch of its own.
+Texts are judged one by one, so repeated rows, ids and ties need nothing special, and an empty table gives no rows.
+There is no shuffle; other columns pass through ``keep`` unchanged, whatever their names, and ``judge`` does not read
+them.
 """
 
 from __future__ import annotations
@@ -24,38 +28,33 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidefold.llm.columnar import SPACE, Words, blocks, runs
 from tidefold.llm.shared import lean
-from tidefold.llm.columnar import _BASE, _BASE_INV, _RAW, SPACE, U64, Words, _power, blocks, grams, mix, runs
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_B = U64(0xC2B2AE3D27D4EB4F)
-_B_INV = U64(pow(0xC2B2AE3D27D4EB4F, -1, 2**64))
 
 
 @dataclass(frozen=True)
 class Rules:
+    """Of the texts in sf0.1 that pass the base rules, those labelled good have 0.276 covered at most, and a longest
+    repeat of 0.141 of their words and of 13 words."""
+
     least_words: int = 50
     repeat_percent: int = 50
     min_words: int = 8
-    max_covered: float = 0.4
-    max_repeat: float = 0.25
-    most_repeat: int | None = None
+    max_covered: float = 0.3
+    max_repeat: float = 0.15
+    most_repeat: int = 100
 
 
-#: Of the texts in sf0.1 that pass the base rules, those labelled good have 0.276 covered at most, and a longest
-#: repeat of 0.141 of their words and of 13 words.
-STRICT = Rules(max_covered=0.3, max_repeat=0.15, most_repeat=100)
+STRICT = Rules()
 
 
 def suffix_array(row: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Positions ordered by (row, values from there to the row's end); the order of single values is arbitrary."""
+    """Positions ordered by (row, values from there to the row's end); values are numbers below 2 ** 31."""
     n = len(row)
-    order = np.argsort(value, kind="stable")
-    _, lens = runs(value[order])
-    dense = np.empty(n, dtype=np.int64)
-    dense[order] = np.repeat(np.arange(len(lens)), lens)
-    key = row.astype(np.int64) << 32 | dense
+    key = row.astype(np.int64) << 32 | value
     sa = np.argsort(key, kind="stable")
     begins, lens = runs(key[sa])
     rank = np.empty(n, dtype=np.int64)
@@ -80,33 +79,39 @@ def suffix_array(row: np.ndarray, value: np.ndarray) -> np.ndarray:
     return sa
 
 
-def repeats(words: Words, min_words: int) -> np.ndarray:
-    """For each word, how many words from it on are found elsewhere in its text too, where that is min_words or more."""
-    n = len(words.hash)
-    out = np.zeros(n, dtype=np.int64)
+def repeats(row: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """For each position, how many values from it on are found elsewhere in its row too."""
+    n = len(row)
     if n < 2:
-        return out
-    sa = suffix_array(words.row, words.hash)
-    sums = np.zeros(n + 1, dtype=U64)
-    np.cumsum(words.hash * _power(_B, "b", n), out=sums[1:])
-    inv = _power(_B_INV, "bi", n + 1)
-    stop = (words.first + words.counts)[words.row]
-
-    def part(at: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        return (sums[at + length] - sums[at]) * inv[at]
-
-    p, q = sa[:-1], sa[1:]
-    room = np.minimum(stop[p] - p, stop[q] - q)
-    k = np.flatnonzero((words.row[p] == words.row[q]) & (room >= min_words))
-    k = k[part(p[k], min_words) == part(q[k], min_words)]
-    p, q, room = p[k], q[k], room[k]
-    lo, hi = np.full(len(k), min_words, dtype=np.int64), room.copy()
-    while (lo < hi).any():
-        mid = (lo + hi + 1) // 2
-        same = part(p, mid) == part(q, mid)
-        lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-    np.maximum.at(out, p, lo)
-    np.maximum.at(out, q, lo)
+        return np.zeros(n, dtype=np.int64)
+    sa = suffix_array(row, value)
+    before = np.full(n, -1, dtype=np.int64)  # the suffix before each one in order, of the same row
+    before[sa[1:]] = np.where(row[sa[1:]] == row[sa[:-1]], sa[:-1], -1)
+    stop = np.searchsorted(row, row, side="right")
+    at = np.flatnonzero(before > 0)
+    at = at[at > 0]
+    derived = np.zeros(n, dtype=bool)
+    derived[at] = (value[at - 1] == value[before[at] - 1]) & (row[at - 1] == row[at]) & (row[before[at] - 1] == row[at])
+    common = np.zeros(n, dtype=np.int64)
+    todo, width = np.flatnonzero((before >= 0) & ~derived), 1
+    while len(todo):
+        kept = []
+        for some in np.array_split(todo, -(-len(todo) * width // (1 << 21))):
+            x = some + common[some]
+            y = before[some] + common[some]
+            span = np.arange(width)
+            room = np.minimum(stop[some] - x, stop[before[some]] - y)
+            same = (value[np.minimum(x[:, None] + span, n - 1)] == value[np.minimum(y[:, None] + span, n - 1)]) & (span < room[:, None])
+            k = np.where(same.all(axis=1), width, same.argmin(axis=1))
+            common[some] += k
+            kept.append(some[k == width])
+        todo, width = np.concatenate(kept), min(64, 2 * width)
+    place = np.arange(n)
+    source = np.maximum.accumulate(np.where(derived, 0, place))
+    common = np.where(derived, common[source] - (place - source), common)
+    out = common.copy()
+    known = np.flatnonzero(before >= 0)
+    out[before[known]] = np.maximum(out[before[known]], common[known])
     return out
 
 
@@ -119,53 +124,29 @@ def measure(texts: pa.Array, rules: Rules) -> dict[str, np.ndarray]:
         sums = np.concatenate(([0], np.cumsum(flags)))
         return (sums[at[1:]] - sums[at[:-1]]).astype(np.int64)
 
-    space = SPACE[raw]
-    n_words = w.counts.astype(np.int64)
-    marked = np.zeros(len(w.hash) + 1, dtype=np.int64)
-    g = grams(w.hash, 3)
-    if len(g):
-        inside = np.flatnonzero(w.row[:-2] == w.row[2:])
-        key = mix(g[inside] ^ mix(w.row[inside].astype(U64) + U64(1)))
-        order = np.argsort(key)
-        _, lens = runs(key[order])
-        twice = inside[order[np.repeat(lens > 1, lens)]]
-        np.add.at(marked, twice, 1)
-        np.add.at(marked, twice + 3, -1)
-    n_repeat = np.bincount(w.row[np.cumsum(marked[:-1]) > 0], minlength=rows).astype(np.int64)
-    n_dup = np.zeros(rows, dtype=np.int64)
-    if len(raw):
-        ends = np.unique(np.concatenate((np.flatnonzero(raw == 10), at[1:][at[1:] > at[:-1]])))  # a \n, or a text's end
-        starts = np.concatenate(([0], ends[:-1]))
-        is_break = np.zeros(len(raw) + 1, dtype=bool)
-        is_break[np.flatnonzero(raw == 10)] = True
-        first = np.zeros(len(raw) + 1, dtype=bool)
-        first[at] = True
-        starts = starts + (is_break[starts] & (np.arange(len(starts)) > 0) & (starts < ends)) * 1
-        cover = np.concatenate(([0], np.cumsum(~space)))
-        solid = np.flatnonzero((ends > starts) & (cover[ends] > cover[starts]))
-        s, e = starts[solid], ends[solid]
-        sums = np.zeros(len(raw) + 1, dtype=U64)
-        np.cumsum(_RAW[raw] * _power(_BASE, "p", len(raw)), out=sums[1:])
-        row = np.searchsorted(at, s, side="right") - 1
-        key = mix(mix((sums[e] - sums[s]) * _power(_BASE_INV, "i", len(raw) + 1)[s] + (e - s).astype(U64)) ^ mix(row.astype(U64) + U64(1)))
-        order = np.argsort(key)
-        begins, lens = runs(key[order])
-        n_dup = np.bincount(row[order[begins]], weights=lens - 1, minlength=rows).astype(np.int64)
-    found = repeats(w, rules.min_words)
-    marked = np.zeros(len(w.hash) + 1, dtype=np.int64)
-    k = np.flatnonzero(found)
-    np.add.at(marked, k, 1)
-    np.add.at(marked, k + found[k], -1)
-    size = w.ends - w.starts
-    covered = np.bincount(w.row, weights=size * (np.cumsum(marked[:-1]) > 0), minlength=rows)
-    total = np.bincount(w.row, weights=size, minlength=rows)
+    found = repeats(w.row, w.distinct()[0])
+
+    def inside(least: int, length: np.ndarray | int) -> np.ndarray:
+        """Words within spans of that length from positions with a repeat of so many words."""
+        marked = np.zeros(len(found) + 1, dtype=np.int64)
+        k = np.flatnonzero(found >= least)
+        marked[k] += 1
+        np.add.at(marked, k + (length if isinstance(length, int) else length[k]), -1)
+        return np.cumsum(marked[:-1]) > 0
+
+    n_words, space = w.counts.astype(np.int64), SPACE[raw]
+    n_repeat = np.bincount(w.row[inside(3, 3)], minlength=rows).astype(np.int64)
+    whole, n_dup = raw.tobytes(), np.zeros(rows, dtype=np.int64)
+    for r, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+        lines = [x for x in whole[a:b].split(b"\n") if x.strip()]  # bytes are stripped of the white space of words
+        n_dup[r] = len(lines) - len(set(lines))
+    covered = np.bincount(w.row, weights=w.lens * inside(rules.min_words, found), minlength=rows)
+    total = np.bincount(w.row, weights=w.lens, minlength=rows)
     longest = np.zeros(rows, dtype=np.int64)
-    np.maximum.at(longest, w.row, found)
+    np.maximum.at(longest, w.row, np.where(found >= rules.min_words, found, 0))
     fraction = covered / np.maximum(total, 1)
     failed = (n_words < rules.least_words) | (100 * n_repeat > rules.repeat_percent * n_words)
-    kept = ~failed & (fraction <= rules.max_covered) & (longest <= rules.max_repeat * n_words)
-    if rules.most_repeat is not None:
-        kept &= longest <= rules.most_repeat
+    kept = ~failed & (fraction <= rules.max_covered) & (longest <= rules.max_repeat * n_words) & (longest <= rules.most_repeat)
     return {"n_words": n_words, "word_chars": per_row(~space & ((raw & 0xC0) != 0x80)), "n_symbols": per_row(_SYMBOL[raw]), "n_dup_lines": n_dup, "n_repeat_words": n_repeat, "base_failed": failed, "kept": kept, "covered_fraction": fraction, "longest_repeat": longest}
 
 
@@ -180,7 +161,8 @@ def judge(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_co
             m = measure(b.column(1), rules)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v) for v in m.values())], [id_col, *m])
 
-    return lean(df).select(df[id_col].cast("long").alias("_i"), df[text_col].alias("_t")).mapInArrow(run, f"{id_col} long, {SCHEMA}")
+    df = lean(df)
+    return df.select(df[id_col].cast("long").alias("_i"), df[text_col].alias("_t")).mapInArrow(run, f"{id_col} long, {SCHEMA}")
 
 
 def keep(df: DataFrame, rules: Rules = Rules(), text_col: str = "text") -> DataFrame:

@@ -1,19 +1,29 @@
-"""Where intermediate tables go, and how tables are read."""
+"""Where intermediate tables go, how long they stay, and the session that operators run in."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[int, str] = {}
+_held: ContextVar[list[str] | None] = ContextVar("held", default=None)
+#: Settings of the operators' own session. Arrow batches of bounded bytes keep memory flat however long single texts
+#: are; shuffle files go once the query that made them has ended, as every result between is a written table.
+LEAN = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master gets one
+    of our own (tests); a cluster has no folder that we may choose for it, so there it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         key = id(spark.sparkContext)
         if key not in _own:
             _own[key] = tempfile.mkdtemp(prefix="tidefold-")
@@ -23,14 +33,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (held := _held.get()) is not None:
+        held.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession, keep: str | None = None) -> Iterator[None]:
+    """Remove the folders given out inside, but for ``keep``, when the block ends."""
+    held: list[str] = []
+    token = _held.set(held)
+    try:
+        yield
+    finally:
+        _held.reset(token)
+        dropped(spark, *(p for p in held if p != keep))
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """The frame, written to the shared folder and read back: lineage is cut and every later job reads the same rows."""
     path = fresh_dir(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._tidefold_path = path  # type: ignore[attr-defined]
+    return back
+
+
+def forget(*frames: DataFrame) -> None:
+    """Remove written frames that nothing reads any more."""
+    for f in frames:
+        dropped(f.sparkSession, f._tidefold_path)  # type: ignore[attr-defined]
 
 
 def dropped(spark: SparkSession, *paths: str) -> None:
@@ -50,9 +83,15 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def lean(df: DataFrame) -> DataFrame:
-    """Small Arrow batches keep memory flat however long single texts are; operators join them where that pays."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
-    return df
+    """The frame in a session of the operators' own, with the caller's settings and LEAN; the caller's session stays
+    as it is. Frames of both sessions can be joined."""
+    spark = df.sparkSession
+    own = spark._jsparkSession.cloneSession()
+    twin = SparkSession(spark.sparkContext, own)
+    for k, v in LEAN.items():
+        twin.conf.set(k, v)
+    of = spark.sparkContext._jvm.org.apache.spark.sql.classic.Dataset.ofRows
+    return DataFrame(of(own, df._jdf.queryExecution().analyzed()), twin)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,8 +6,11 @@ million ids: ``part`` and ``offset`` place it (ids of the same part before it),
 magic ``TFH1``, counts, document index, bit offsets of every block of ``BLOCK`` ids, then the bits. Each block can
 be decoded alone from its checkpoint. ``parts`` has the number of ids of each part and before it.
 
-Null texts count as empty (the end id alone); null document ids come first; equal document ids keep one order, by
-a hash of their ids; an empty table gives an empty file set. Other columns are not read.
+The ids are the library's for the whole text, its added tokens included (``specials_as_text``: their strings are then
+ordinary text). Null texts count as empty (the end id alone); a very long text is encoded whole and may fill a segment
+of its own. Null document ids come first; equal document ids keep one order, by a hash of their ids, and repeated rows
+are written as often as they occur; an empty table gives an empty file set. Other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -21,12 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidefold.llm.columnar import Memo, Pieces, blocks, ragged
+from tidefold.llm.columnar import Memo, Pieces, blocks, flat, ragged
 from tidefold.llm.shared import dropped, fresh_dir, lean
 
 MAGIC, VERSION, BLOCK, SEGMENT = b"TFH1", 1, 1024, 1 << 20
@@ -40,11 +44,11 @@ class WordEncoder:
     The tokenizer drops white space and treats what lies between alone, so a text's ids are those of its words.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials_as_text: bool = False):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.whole.encode_special_tokens = specials_as_text
         spec = json.loads(self.whole.to_str())
         suffix = spec["model"].get("end_of_word_suffix") or ""
         vocab = self.whole.get_vocab()
@@ -52,9 +56,11 @@ class WordEncoder:
         self.ends = np.zeros(self.size, dtype=bool)
         self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
         split = next((p["pattern"]["Regex"] for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"), "")
-        #: The short cut holds for this pattern and word ends only.
-        self.cut = bool(suffix) and split == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and '"Lowercase"' in json.dumps(spec["normalizer"])
-        self.drops_space = self.cut
+        added = spec.get("added_tokens") or []
+        #: Strings that the library looks for in a text as it is; texts that have one go to the library whole.
+        self.added = [t["content"].encode() for t in added if not (specials_as_text and t["special"])]
+        #: The short cut holds for this pattern and word ends only, and for added tokens that are sought before anything else.
+        self.cut = bool(suffix) and split == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and '"Lowercase"' in json.dumps(spec["normalizer"]) and not any(t["normalized"] for t in added)
         self.bare = Tokenizer(self.whole.model)
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.memo = Memo(self._words)
@@ -89,16 +95,39 @@ class WordEncoder:
             at[mask] = base + np.cumsum(lens[mask]) - lens[mask]
         return pool[ragged(at, lens)], lens
 
+    def _marked(self, texts: pa.Array) -> np.ndarray:
+        """Rows that have an added token's string."""
+        raw, at = flat(texts)
+        whole, rows = raw.tobytes(), set()
+        for token in self.added:
+            k = whole.find(token)
+            while k >= 0:
+                r = int(np.searchsorted(at, k, side="right")) - 1
+                if k + len(token) <= at[r + 1]:
+                    rows.add(r)
+                k = whole.find(token, k + 1)
+        return np.array(sorted(rows), dtype=np.int64)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if self.drops_space:
+        """Ids of all texts in order, and how many each has."""
+        if not self.cut:
+            ids = self._plain([t or "" for t in texts.to_pylist()])
+            return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.array([len(x) for x in ids], dtype=np.int64)
+        marked = self._marked(texts)
+        if not len(marked):
             return self.memo.tokens(Pieces(texts))
-        ids = self._plain([t or "" for t in texts.to_pylist()])
-        return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.array([len(x) for x in ids], dtype=np.int64)
+        kept = np.ones(len(texts), dtype=bool)
+        kept[marked] = False
+        ids, counts = self.memo.tokens(Pieces(pc.if_else(pa.array(kept), texts, pa.scalar(None, texts.type))))
+        own = self._plain(texts.take(pa.array(marked)).to_pylist())
+        at, counts[marked] = np.cumsum(counts) - counts, [len(x) for x in own]
+        at[marked] = len(ids) + np.cumsum(counts[marked]) - counts[marked]
+        return np.concatenate((ids, *own))[ragged(at, counts)], counts
 
 
 @functools.lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def word_encoder(path: str, specials_as_text: bool = False) -> WordEncoder:
+    return WordEncoder(path, specials_as_text)
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -190,19 +219,20 @@ def unpack_segment(code: Code, raw: bytes) -> tuple[list[int | None], np.ndarray
     return [k if there else None for k, there in zip(keys, known)], counts, ids
 
 
-def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, limit: int = 18, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, limit: int = 18, id_col: str = "doc_id", text_col: str = "text", specials_as_text: bool = False) -> None:
     """Encode each text with the tokenizer, append ``end_id`` and write the file set in ascending id_col order.
 
     The texts are tokenised once, into a table of packed ids that also holds every task's counts of ids (so a task
     that runs again counts once); the global counts give the code; the packed ids alone are shuffled into order.
     """
-    spark = lean(df).sparkSession
+    df = lean(df)
+    spark = df.sparkSession
     tokens = fresh_dir(spark, "tokens")
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, zip_ = word_encoder(tokenizer), zstandard.ZstdCompressor(3)
+        encoder, zip_ = word_encoder(tokenizer, specials_as_text), zstandard.ZstdCompressor(3)
         total = np.zeros(max(encoder.size, end_id + 1), dtype=np.int64)
-        for b in blocks(batches, "_t", 4 << 20):
+        for b in blocks(batches, "_t"):
             ids, counts = encoder.encode(b.column(1))
             ends = np.cumsum(counts)
             out = np.insert(ids, ends, end_id)
