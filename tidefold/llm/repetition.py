@@ -48,9 +48,6 @@ class Rules:
     most_repeat: int = 100
 
 
-STRICT = Rules()
-
-
 def suffix_array(row: np.ndarray, value: np.ndarray) -> np.ndarray:
     """Positions ordered by (row, values from there to the row's end); values are numbers below 2 ** 31."""
     n = len(row)
