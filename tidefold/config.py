@@ -31,6 +31,9 @@ class PlanningConfig:
     #: None: one group for each partition; else bins of that many bytes.
     bin_pack_bytes: int | None = 1024 * MIB
     lookback: int = 1
+    #: Rewrite only groups that the threshold rule asks for: many files, a low average size or many deletes a file.
+    by_threshold: bool = False
+    max_delete_ratio: float = 0.1
 
 
 @dataclass(frozen=True)
@@ -51,3 +54,17 @@ class ExecutionConfig:
     sort_columns: tuple[SortColumn, ...] = field(default=())
     #: Groups rewritten at the same time.
     concurrent_groups: int = 4
+    #: A file ends at the target size, as estimated from bytes a row, or at this many rows.
+    max_rows_per_file: int | None = None
+    #: Weight of a finished group's bytes a row against the estimate so far.
+    size_smoothing: float = 0.2
+    #: Commit nothing if any group fails.
+    all_or_nothing: bool = False
+
+
+@dataclass(frozen=True)
+class ShardingConfig:
+    """Log entries are read by so many readers once there are more than the threshold."""
+
+    threshold: int = 100
+    readers: int = 8

@@ -16,7 +16,7 @@ class ExecutionError(TableError): ...
 class SchemaError(TableError): ...
 class ConfigError(TableError): ...
 class SerializationError(TableError): ...
-class CancelledError(TableError): ...
+class WorkerError(TableError): ...
 class CommitError(TableError): ...
 
 
@@ -33,7 +33,7 @@ class TimeoutExceeded(TableError):
 
 
 class ResourceExhausted(TableError):
-    retryable, delay_ms = True, 500
+    retryable, delay_ms = True, 5000
 
 
 class ConflictError(TableError):

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import signal
 import threading
 import time
-import uuid
+from collections import deque
 from collections.abc import Sequence
 from concurrent.futures import Future, ThreadPoolExecutor
+from dataclasses import replace
 from typing import TYPE_CHECKING
 
-from tidefold.config import ExecutionConfig
-from tidefold.errors import PlanningError, ResourceExhausted
+from tidefold.errors import ResourceExhausted, TimeoutExceeded, WorkerError
 
 if TYPE_CHECKING:
-    from tidefold.plans.table import File, Result, Table
+    from tidefold.plans.files import Result, SizeEstimator, Task
+    from tidefold.plans.table import Table
 
 
 class Worker:
@@ -24,7 +26,7 @@ class Worker:
         self._pool, self._lock = ThreadPoolExecutor(capacity), threading.Lock()
         self._tasks: dict[str, Future] = {}
         self._cancelled: set[str] = set()
-        self._open = True
+        self._open, self.live = True, True
 
     @property
     def in_flight(self) -> int:
@@ -32,34 +34,56 @@ class Worker:
 
     @property
     def ready(self) -> bool:
-        return self._open and self.in_flight < self.capacity
+        return self.live and self._open and self.in_flight < self.capacity
 
-    def submit(self, group: int, files: Sequence[File], config: ExecutionConfig = ExecutionConfig(), version: int | None = None) -> str:
+    def submit(self, task: Task, sizes: SizeEstimator | None = None) -> str:
         with self._lock:
             if not self.ready:
                 raise ResourceExhausted("draining" if not self._open else f"{self.capacity} tasks are in flight")
-            task = uuid.uuid4().hex
-            self._tasks[task] = self._pool.submit(self._run, task, group, files, config, version)
-            return task
+            self._tasks[task.task_id] = self._pool.submit(self._run, task, sizes)
+            return task.task_id
 
-    def _run(self, task: str, group: int, files: Sequence[File], config: ExecutionConfig, version: int | None) -> Result | None:
-        if task in self._cancelled:
-            return None
-        self.table.spark.sparkContext.setJobGroup(task, f"compact group {group}", interruptOnCancel=True)
-        return self.table.execute(group, files, config, version)
+    def submit_json(self, text: str) -> str:
+        """A task in its JSON form."""
+        from tidefold.plans.files import Task
+
+        return self.submit(Task.from_json(text))
+
+    def _run(self, task: Task, sizes: SizeEstimator | None) -> Result:
+        from tidefold.plans.files import Result
+
+        if task.task_id in self._cancelled:
+            return Result(task.task_id, "Cancelled", task.group.data)
+        self.table.spark.sparkContext.setJobGroup(task.task_id, f"compact {len(task.group.data)} files", interruptOnCancel=True)
+        return self.table.execute(task, sizes)
+
+    def run(self, tasks: Sequence[Task], sizes: SizeEstimator | None = None) -> list[Result]:
+        """All tasks, as many at a time as there is room for."""
+        waiting: deque[str] = deque()
+        results = []
+        for task in tasks:
+            if len(waiting) == self.capacity:
+                results.append(self.result(waiting.popleft()))
+            waiting.append(self.submit(task, sizes))
+        results += [self.result(t) for t in waiting]
+        self.drain()
+        return results
 
     def status(self, task: str) -> str:
         """Running, Success, Failed or Cancelled."""
         if task not in self._tasks:
-            raise PlanningError(f"no task {task}")
+            raise WorkerError(f"no task {task}")
         if task in self._cancelled:
             return "Cancelled"
         return self._tasks[task].result().status if self._tasks[task].done() else "Running"
 
-    def result(self, task: str, timeout: float | None = None) -> Result | None:
-        """The task's result, None if it was cancelled."""
-        found = self._tasks[task].result(timeout)
-        return None if task in self._cancelled else found
+    def result(self, task: str, timeout: float | None = None) -> Result:
+        """The task's result; that of a cancelled task says so and may be committed beside others."""
+        try:
+            found = self._tasks[task].result(timeout)
+        except TimeoutError:
+            raise TimeoutExceeded(f"{task} after {timeout} s") from None
+        return replace(found, status="Cancelled", added=(), rows_out=0) if task in self._cancelled else found
 
     def cancel(self, task: str) -> bool:
         """Whether the task was still running."""
@@ -78,3 +102,8 @@ class Worker:
             time.sleep(0.05)
         self._pool.shutdown(wait=False)
         return not self.in_flight
+
+    def drain_on_signals(self, timeout: float = 30.0) -> None:
+        """SIGTERM and SIGINT drain the worker; call it on the main thread."""
+        for s in (signal.SIGTERM, signal.SIGINT):
+            signal.signal(s, lambda *_: threading.Thread(target=self.drain, args=(timeout,), daemon=True).start())

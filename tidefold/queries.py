@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.config import PlanningConfig, SortColumn, Strategy
+from tidefold.config import ExecutionConfig, PlanningConfig, SortColumn, Strategy
 from tidefold.operators import merge, packing, selection
+from tidefold.plans.anchors import MemoryAnchors
+from tidefold.plans.table import Table
+from tidefold.sources.scratch import fresh_dir
 
 CONFIG = PlanningConfig(small_file_threshold_bytes=150_000, min_delete_file_count_threshold=5, min_size_per_partition=4_000_000, target_file_size_bytes=16_000_000)
 COLS = ["event_id", "user_id", "event_type"]
@@ -102,8 +105,10 @@ def mor_null_keys_nullsafe(s, d):
 
 
 def mor_inline_deletes(s, d):
-    inline = s.createDataFrame([(3, 9), (70, 9), (71, 0), (500, 2)], "event_id long, seq long")
-    return merge.merge_on_read(_events(s, d), COLS, equality=[(["event_id"], inline)])
+    """Equality deletes of two sequences and position deletes, all given as rows."""
+    late, early = (merge.inline_equality(s, {"event_id": "long"}, rows, seq) for rows, seq in (([(3,), (70,), (71,)], 9), ([(500,), (2500,)], 2)))
+    positions = merge.inline_positions(s, {0: [11, 12], 1: [0, 999]}, "file_no", "pos", "long")
+    return merge.merge_on_read(_events(s, d), COLS, positions, [late, early], position_keys=("file_no", "pos"))
 
 
 def mor_shuffle_join(s, d):
@@ -146,8 +151,29 @@ def dedup_delete_files(s, d):
 
 
 def file_deletes(s, d):
-    both = _deletes(s, d).distinct().groupBy("o_orderkey").agg(F.count(F.when(F.col("content") == "position_deletes", 1)).alias("n_position"), F.count(F.when(F.col("content") == "equality_deletes", 1)).alias("n_equality"))
-    return _manifest(s, d).join(both, "o_orderkey", "left").select("o_orderkey", F.coalesce("n_position", F.lit(0)).cast("long").alias("n_position"), F.coalesce("n_equality", F.lit(0)).cast("long").alias("n_equality"))
+    return selection.file_deletes(_manifest(s, d).select("o_orderkey"), _deletes(s, d), "o_orderkey", "l_suppkey")
+
+
+def input_totals(s, d):
+    """Bytes and files of data and deletes together; a delete file's size is its supplier's number."""
+    data = _manifest(s, d).select("part", "o_orderkey", "size")
+    deletes = selection.dedup_deletes(_deletes(s, d), "o_orderkey", "l_suppkey").join(data.select("o_orderkey", "part"), "o_orderkey")
+    return selection.input_totals(data.select("part", "size").union(deletes.select("part", F.col("l_suppkey").alias("size"))), "part")
+
+
+def _groups(s, d):
+    """Groups of ten orders' numbers each."""
+    m = selection.with_delete_counts(_manifest(s, d), _deletes(s, d), "o_orderkey").withColumn("grp", F.col("o_orderkey") % 500)
+    return m.groupBy("grp").agg(F.count("*").alias("n_files"), F.sum("size").alias("total_bytes"), F.sum("n_deletes").cast("long").alias("n_deletes"), F.count(F.when(F.col("size") <= CONFIG.small_file_threshold_bytes, 1)).alias("n_small"))
+
+
+def group_threshold(s, d):
+    return selection.by_threshold(_groups(s, d), PlanningConfig(max_file_count_per_partition=30, small_file_threshold_bytes=230_000, max_delete_ratio=4.1)).select("grp", "n_files")
+
+
+def partition_scores(s, d):
+    scored = selection.partition_scores(_groups(s, d).withColumn("hours", F.col("grp") % 48))
+    return scored.select("grp", *(F.round(F.col(c) * 1000).cast("long").alias(c) for c in ("fragment_ratio", "score")))
 
 
 def plan_parallelism(s, d):
@@ -160,27 +186,23 @@ def incremental_plan(s, d):
     return selection.unprocessed(m, m.where("o_orderkey % 3 = 0"), "o_orderkey").select("o_orderkey", "size")
 
 
-def _summary(s, d, committed):
-    m = _manifest(s, d).where("o_orderstatus = 'F'")
-    n = F.count("*")
-    return m.agg(n.alias("files_removed"), F.coalesce(F.sum(F.expr("cast(o_orderkey % 2 as bigint)")), F.lit(0)).alias("files_added"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes_removed"), F.coalesce(F.sum(F.expr("size div 2")), F.lit(0)).alias("bytes_added"), (n if committed else F.lit(0).cast("long")).alias("tasks_committed"))
+def _results(s, d):
+    """Orders as results of tasks: the status letter tells how they ended."""
+    status = F.when(F.col("o_orderstatus") == "F", "Success").when(F.col("o_orderstatus") == "O", "Failed").otherwise("Cancelled")
+    half = F.expr("size div 2")
+    return _manifest(s, d).select(status.alias("status"), F.lit(1).alias("files_removed"), F.expr("cast(o_orderkey % 2 as bigint)").alias("files_added"), F.col("size").alias("bytes_removed"), half.alias("bytes_added"), F.col("size").alias("time_us"), F.col("size").alias("bytes_read"), half.alias("bytes_written"))
 
 
 def commit_summary(s, d):
-    return _summary(s, d, True)
+    return selection.commit_totals(_results(s, d))
 
 
 def dry_run_summary(s, d):
-    return _summary(s, d, False)
+    return selection.commit_totals(_results(s, d), dry_run=True)
 
 
 def task_metrics(s, d):
-    m = _manifest(s, d)
-    done, failed = F.count(F.when(F.col("o_orderstatus") == "F", 1)), F.count(F.when(F.col("o_orderstatus") == "O", 1))
-    us, read = F.sum(F.when(F.col("o_orderstatus") == "F", F.col("size"))), F.sum("size")
-    one = m.agg(done.alias("completed"), failed.alias("failed"), us.alias("us"), read.alias("bytes_read"))
-    rate = F.when(F.expr("completed + failed = 0"), 1000).otherwise(F.expr("completed * 1000 div (completed + failed)"))
-    return one.select("completed", "failed", rate.cast("long").alias("success_per_mille"), F.when(F.col("completed") == 0, 0).otherwise(F.expr("us div completed")).cast("long").alias("average_us"), F.when(F.col("bytes_read") == 0, 1000).otherwise(F.expr("us * 1000 div bytes_read")).cast("long").alias("written_per_mille"))
+    return selection.task_totals(_results(s, d))
 
 
 def compaction_row_conservation(s, d):
@@ -190,8 +212,72 @@ def compaction_row_conservation(s, d):
     return counts.select("rows_in", (F.col("rows_in") - F.col("rows_out")).alias("rows_deleted"), "rows_out")
 
 
-QUERIES = [mor_no_deletes, mor_position_delete, mor_equality_delete, mor_equality_seq_boundary, mor_equality_composite, mor_equality_multi_file, mor_position_and_equality, mor_null_keys_strict, mor_null_keys_nullsafe, mor_inline_deletes, mor_shuffle_join, mor_sorted, select_small_files, select_full, select_files_with_deletes, group_single, group_sizes, group_bin_pack, dedup_delete_files, file_deletes, plan_parallelism, incremental_plan, commit_summary, dry_run_summary, task_metrics, compaction_row_conservation]
+def _table(s, d, sort_by=()):
+    """Events as a table of real files by event type: even numbers, then deletes of rows of every seventh by place and
+    of the users of every hundredth by key, then odd numbers, which no delete hits."""
+    e = s.read.parquet(f"{d}/events.parquet").select(*COLS, "value")
+    t = Table.create(s, fresh_dir(s, "events"), e.schema, partition_by=["event_type"], sort_by=sort_by)
+    t.append(e.where("event_id % 2 = 0"))
+    places = s.read.parquet(*(f.path for f in t.state().files)).where("event_id % 7 = 0")
+    t.append(places.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.row_index").alias("pos")).coalesce(1), "position_deletes")
+    t.append(e.where("event_id % 100 = 0").select("user_id").coalesce(1), "equality_deletes", [2])
+    t.append(e.where("event_id % 2 = 1"))
+    return t
+
+
+def table_merge_on_read(s, d):
+    return _table(s, d).read().select(*COLS)
+
+
+def table_snapshot(s, d):
+    return _table(s, d).read(version=2).select(*COLS)
+
+
+def table_compaction(s, d):
+    """What is read after all files of every partition were rewritten as one and committed."""
+    t = _table(s, d, [SortColumn("event_id")])
+    t.compact(Strategy.FULL, PlanningConfig(), ExecutionConfig())
+    return t.read().select(*COLS)
+
+
+def table_compaction_files(s, d):
+    """Live files after a rewrite of all, and those before, of each partition."""
+    t = _table(s, d)
+    t.compact(Strategy.FULL, PlanningConfig(bin_pack_bytes=None))
+    live = t.manifest().groupBy(F.col("partition")[0].alias("event_type"), "content")
+    return live.agg(F.count("*").alias("n_files"), F.sum("rows").alias("n_rows"), F.sum("n_deletes").alias("n_deletes"))
+
+
+def table_incremental_compaction(s, d):
+    """Rows of the files that a second planning finds: those that the first rewrite has not made."""
+    t, anchors = _table(s, d), MemoryAnchors()
+    t.compact(Strategy.FULL, anchors=anchors)
+    t.append(s.read.parquet(f"{d}/events.parquet").select(*COLS, "value").where("event_id % 5 = 0"))
+    groups = t.plan(Strategy.FULL, processed=anchors.get(t.path).processed)
+    return s.createDataFrame([(g.partition[0], sum(f.rows for f in g.data)) for g in groups], "event_type string, n_rows long")
+
+
+def table_renamed_key(s, d):
+    """The key of the deletes and of all files has another name since."""
+    t = _table(s, d)
+    t.rename_column("user_id", "customer")
+    t.append(s.read.parquet(f"{d}/events.parquet").where("event_id % 150 = 0").select(F.col("user_id").alias("customer")), "equality_deletes", [2])
+    return t.read().select("event_id", "customer", "event_type")
+
+
+def table_column_statistics(s, d):
+    """Nulls and bounds of each partition's whole-number columns, from the manifest."""
+    t = _table(s, d)
+    t.compact(Strategy.FULL)
+    part = t.manifest().select(F.col("path").alias("file_path"), F.col("partition")[0].alias("event_type"))
+    kept = t.statistics().where("column in ('event_id', 'user_id')").join(part, "file_path")
+    return kept.groupBy("event_type", "column").agg(F.sum("nulls").alias("nulls"), F.min(F.col("least").cast("long")).alias("least"), F.max(F.col("greatest").cast("long")).alias("greatest"))
+
+
+QUERIES = [mor_no_deletes, mor_position_delete, mor_equality_delete, mor_equality_seq_boundary, mor_equality_composite, mor_equality_multi_file, mor_position_and_equality, mor_null_keys_strict, mor_null_keys_nullsafe, mor_inline_deletes, mor_shuffle_join, mor_sorted, select_small_files, select_full, select_files_with_deletes, group_single, group_sizes, group_bin_pack, group_threshold, partition_scores, dedup_delete_files, file_deletes, input_totals, plan_parallelism, incremental_plan, commit_summary, dry_run_summary, task_metrics, compaction_row_conservation, table_merge_on_read, table_snapshot, table_compaction, table_compaction_files, table_incremental_compaction, table_renamed_key, table_column_statistics]
 
+_G_SQL = "dc AS (SELECT o_orderkey, count(*) AS n FROM d GROUP BY 1), g AS (SELECT o_orderkey % 500 AS grp, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS total_bytes, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_deletes, count(*) FILTER (size <= 150000) AS n_small FROM m LEFT JOIN dc USING (o_orderkey) GROUP BY 1)"
+_LIVE = "(event_id % 2 = 1 OR (event_id % 7 <> 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 100 = 0)))"
 _K = "CASE WHEN {0}.user_id % 50 <> 0 THEN {0}.user_id END".format
 _NULLS = "NOT EXISTS (SELECT 1 FROM e x WHERE x.event_id % 100 = 0 AND {} {} {} AND e.seq < 6)"
 _SUM = "SELECT count(*) AS files_removed, CAST(coalesce(sum(o_orderkey % 2), 0) AS BIGINT) AS files_added, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes_removed, CAST(coalesce(sum(size // 2), 0) AS BIGINT) AS bytes_added, CAST({} AS BIGINT) AS tasks_committed FROM m WHERE o_orderstatus = 'F'"
@@ -205,7 +291,7 @@ SQL = {
     "mor_position_and_equality": _mor(f"{NO_POS} AND {NO_EQ} AND {NO_USER}"),
     "mor_null_keys_strict": _mor(_NULLS.format(_K("x"), "=", _K("e"))),
     "mor_null_keys_nullsafe": _mor(_NULLS.format(_K("x"), "IS NOT DISTINCT FROM", _K("e"))),
-    "mor_inline_deletes": _mor("NOT EXISTS (SELECT 1 FROM (VALUES (3, 9), (70, 9), (71, 0), (500, 2)) v(k, q) WHERE v.k = e.event_id AND e.seq < v.q)"),
+    "mor_inline_deletes": _mor("NOT EXISTS (SELECT 1 FROM (VALUES (3, 9), (70, 9), (71, 9), (500, 2), (2500, 2)) v(k, q) WHERE v.k = e.event_id AND e.seq < v.q) AND NOT (file_no = 0 AND pos IN (11, 12)) AND NOT (file_no = 1 AND pos IN (0, 999))"),
     "mor_shuffle_join": _mor(NO_EQ),
     "mor_sorted": _mor(NO_EQ),
     "select_small_files": f"WITH {M_SQL} SELECT o_orderkey, size FROM m WHERE size <= 150000",
@@ -220,7 +306,17 @@ SQL = {
     "incremental_plan": f"WITH {M_SQL} SELECT o_orderkey, size FROM m WHERE o_orderkey % 3 <> 0",
     "commit_summary": f"WITH {M_SQL} " + _SUM.format("count(*)"),
     "dry_run_summary": f"WITH {M_SQL} " + _SUM.format("0"),
-    "task_metrics": f"WITH {M_SQL}, a AS (SELECT count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS completed, count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS failed, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN size END) AS BIGINT) AS us, CAST(sum(size) AS BIGINT) AS r FROM m) SELECT completed, failed, CAST(CASE WHEN completed + failed = 0 THEN 1000 ELSE completed * 1000 // (completed + failed) END AS BIGINT) AS success_per_mille, CAST(CASE WHEN completed = 0 THEN 0 ELSE us // completed END AS BIGINT) AS average_us, CAST(CASE WHEN r = 0 THEN 1000 ELSE us * 1000 // r END AS BIGINT) AS written_per_mille FROM a",
+    "task_metrics": f"WITH {M_SQL}, a AS (SELECT count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS completed, count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS failed, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN size END) AS BIGINT) AS us, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN size // 2 END) AS BIGINT) AS w, CAST(sum(size) AS BIGINT) AS r FROM m) SELECT completed, failed, CAST(CASE WHEN completed + failed = 0 THEN 1000 ELSE completed * 1000 // (completed + failed) END AS BIGINT) AS success_per_mille, CAST(CASE WHEN completed = 0 THEN 0 ELSE us // completed END AS BIGINT) AS average_us, CAST(CASE WHEN r = 0 THEN 1000 ELSE w * 1000 // r END AS BIGINT) AS written_per_mille FROM a",
+    "input_totals": f"WITH {M_SQL}, {D_SQL}, u AS (SELECT DISTINCT o_orderkey, content, l_suppkey FROM d), b AS (SELECT part, size FROM m UNION ALL SELECT part, l_suppkey FROM u JOIN m USING (o_orderkey)) SELECT part, CAST(sum(size) AS BIGINT) AS input_bytes, count(*) AS input_files FROM b GROUP BY part",
+    "group_threshold": f"WITH {M_SQL}, {D_SQL}, {_G_SQL} SELECT grp, n_files FROM g WHERE n_files > 30 OR total_bytes // n_files < 230000 OR n_deletes > CAST(4.1 AS DOUBLE) * n_files",
+    "partition_scores": f"WITH {M_SQL}, {D_SQL}, {_G_SQL}, f AS (SELECT grp, CAST(n_deletes AS DOUBLE) / greatest(n_files, 1) AS r, least(CAST(n_files AS DOUBLE) / 100, CAST(1 AS DOUBLE)) * CAST(0.3 AS DOUBLE) + CAST(n_deletes AS DOUBLE) / greatest(n_files, 1) * CAST(0.3 AS DOUBLE) + least(CAST(grp % 48 AS DOUBLE) / 24, CAST(1 AS DOUBLE)) * CAST(0.2 AS DOUBLE) + CAST(n_small AS DOUBLE) / greatest(n_files, 1) * CAST(0.2 AS DOUBLE) AS s FROM g) SELECT grp, CAST(round(r * 1000) AS BIGINT) AS fragment_ratio, CAST(round(s * 1000) AS BIGINT) AS score FROM f",
+    "table_merge_on_read": f"SELECT event_id, user_id, event_type FROM events WHERE {_LIVE}",
+    "table_snapshot": "SELECT event_id, user_id, event_type FROM events WHERE event_id % 2 = 0 AND event_id % 7 <> 0",
+    "table_compaction": f"SELECT event_id, user_id, event_type FROM events WHERE {_LIVE}",
+    "table_compaction_files": f"SELECT event_type, 'data' AS content, CAST(1 AS BIGINT) AS n_files, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_deletes FROM events WHERE {_LIVE} GROUP BY event_type",
+    "table_incremental_compaction": "SELECT event_type, count(*) AS n_rows FROM events WHERE event_id % 5 = 0 GROUP BY event_type",
+    "table_renamed_key": f"SELECT event_id, user_id AS customer, event_type FROM events WHERE {_LIVE} AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 150 = 0)",
+    "table_column_statistics": f"WITH l AS (SELECT * FROM events WHERE {_LIVE}) SELECT event_type, 'event_id' AS \"column\", count(*) - count(event_id) AS nulls, min(event_id) AS least, max(event_id) AS greatest FROM l GROUP BY 1 UNION ALL SELECT event_type, 'user_id', count(*) - count(user_id), min(user_id), max(user_id) FROM l GROUP BY 1",
     "compaction_row_conservation": f"WITH {E_SQL}, l AS (SELECT count(*) AS n FROM e WHERE {NO_POS} AND {NO_EQ} AND {NO_USER}), t AS (SELECT count(*) AS n FROM e) SELECT t.n AS rows_in, t.n - l.n AS rows_deleted, l.n AS rows_out FROM t, l",
 }
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql.types import StructType
@@ -12,8 +11,9 @@ from pyspark.sql.types import StructType
 from tidefold.errors import ConfigError, PlanningError
 from tidefold.plans.cache import ManifestCache
 from tidefold.plans.table import Table
+from tidefold.sources.store import Store
 
-NAME = re.compile(r"[A-Za-z0-9_][A-Za-z0-9_.\-]*")
+NAME = re.compile(r"[A-Za-z0-9_][A-Za-z0-9_\-]*")
 
 
 @dataclass
@@ -23,6 +23,7 @@ class Catalog:
     cache: ManifestCache | None = None
 
     def _path(self, *names: str) -> str:
+        names = tuple(part for n in names for part in n.split("."))
         for n in names:
             if not NAME.fullmatch(n):
                 raise ConfigError(f"not a name: {n!r}")
@@ -35,9 +36,17 @@ class Catalog:
 
     def load_table(self, namespace: str, name: str) -> Table:
         table = Table(self.spark, self._path(namespace, name), cache=self.cache)
-        if not Path(table.path, "_log").is_dir():
+        if not table.log.versions():
             raise PlanningError(f"no table {namespace}.{name}")
         return table
 
+    def load(self, identifier: str) -> Table:
+        """A table by its dotted name, one namespace at least."""
+        namespace, _, name = identifier.rpartition(".")
+        if not namespace:
+            raise PlanningError(f"{identifier!r} names no namespace")
+        return self.load_table(namespace, name)
+
     def list_tables(self, namespace: str) -> list[str]:
-        return sorted(p.parent.name for p in Path(self._path(namespace)).glob("*/_log"))
+        store = Store(self.spark, self._path(namespace))
+        return [n for n in store.names(store.root) if store.names(f"{store.root}/{n}/_log")]

@@ -6,20 +6,26 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from tidefold.errors import PlanningError, SchemaError
 
-
-def plain_path(path: str) -> str:
-    """A local path or URI in one spelling."""
-    return "/" + path[5:].lstrip("/") if path.startswith("file:") else path
-
-
 #: Hidden columns; a table's own file_path, pos or seq columns stay apart from them.
 PATH, POS, SEQ = "__file_path", "__pos", "__seq"
 #: Sequences of up to so many files are broadcast (some 20 MB); those of more are joined by a shuffle.
 BROADCAST_FILES = 100_000
+#: Columns are found by their field ids, so a renamed column keeps its values.
+BY_ID = {"spark.sql.parquet.fieldId.read.enabled": "true", "spark.sql.parquet.fieldId.read.ignoreMissing": "true"}
+ID = "parquet.field.id"
+
+
+def with_ids(schema: StructType) -> StructType:
+    """Every field with an id: its own, or its place from 1 on."""
+    return StructType([StructField(f.name, f.dataType, f.nullable, {**f.metadata, ID: int(f.metadata.get(ID, f.metadata.get("field_id", k)))}) for k, f in enumerate(schema.fields, 1)])
+
+
+def fields_by_id(schema: StructType) -> dict[int, StructField]:
+    return {f.metadata[ID]: f for f in with_ids(schema).fields}
 
 
 def scan_data(spark: SparkSession, schema: StructType, files: Sequence[tuple[str, int]], positions: bool = True, sequences: bool = True) -> DataFrame:
@@ -29,8 +35,10 @@ def scan_data(spark: SparkSession, schema: StructType, files: Sequence[tuple[str
     df = spark.read.schema(schema).parquet(*(p for p, _ in files))
     hidden = [_scanned_path().alias(PATH)] if positions or sequences else []
     df = df.select("*", *hidden, *([F.col("_metadata.row_index").alias(POS)] if positions else []))
-    if not sequences:
-        return df
+    return _sequenced(spark, df, files) if sequences else df
+
+
+def _sequenced(spark: SparkSession, df: DataFrame, files: Sequence[tuple[str, int]]) -> DataFrame:
     known = {s for _, s in files}
     if len(known) == 1:
         return df.withColumn(SEQ, F.lit(known.pop()).cast("long"))
@@ -51,12 +59,17 @@ def scan_position_deletes(spark: SparkSession, paths: Sequence[str]) -> DataFram
 
 
 def scan_equality_deletes(spark: SparkSession, schema: StructType, files: Sequence[tuple[str, Sequence[int], int]]) -> list[tuple[tuple[str, ...], DataFrame]]:
-    """(keys, deletes with their sequence) of each (path, field ids, sequence); keys are resolved by field id."""
-    names = {f.metadata.get("field_id"): f for f in schema.fields}
-    out = []
+    """(keys, deletes with their sequence) of each key set of the (path, field ids, sequence) files: one relation
+    reads all files of a key set. Keys are resolved by field id."""
+    fields = fields_by_id(schema)
+    sets: dict[tuple[int, ...], list[tuple[str, int]]] = {}
     for path, ids, seq in files:
-        if not ids or any(i not in names for i in ids):
+        if not ids or any(i not in fields for i in ids):
             raise SchemaError(f"{path}: equality ids {list(ids)} are not all in the schema")
-        keys = [names[i] for i in ids]
-        out.append((tuple(k.name for k in keys), spark.read.schema(StructType(keys)).parquet(path).withColumn(SEQ, F.lit(seq).cast("long"))))
+        sets.setdefault(tuple(ids), []).append((path, seq))
+    out = []
+    for ids, some in sets.items():
+        keys = [fields[i] for i in ids]
+        df = spark.read.schema(StructType(keys)).parquet(*(p for p, _ in some)).select("*", _scanned_path().alias(PATH))
+        out.append((tuple(k.name for k in keys), _sequenced(spark, df, some).drop(PATH)))
     return out
