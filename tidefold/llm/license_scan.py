@@ -1,28 +1,31 @@
 """License scan by MinHash bands over overlapping text windows, in DataFrame functions only.
 
 A text is its 5-word shingles in order (fewer words are one shingle). Words are split at white space, case folded and
-freed of all but letters, marks and digits at both ends; what is left empty, as comment signs, is no word. Windows of two lengths overlap:
-short ones of 3 shingles at every word, long ones of 8 shingles at every fourth. Templates are cut into windows of
-the same lengths at every word. Each window has ``BANDS`` MinHash values, each a band of its own; a text and a
-template that share a band value are a candidate. A passage of up to 3 shingles lies within a short window whose
-similarity is a third at least; a longer one shares a long window of similarity 0.36 or more even if a fifth of
-its shingles are gone: either is retrieved with a probability over 0.998. Candidates are then decided by exact
-containment of the template's shingles in the text's.
-
-A template shorter than a shingle is sought in the text's windows of its own length, and one of up to ``TINY``
-shingles by any of them, as minima of windows that reach beyond it may miss it; neither needs minima.
-
-Texts that hold none of the templates' shingles cannot share a minimum with them and are passed over before the
-minima are taken; the outcome is the same. There is no shuffle: the templates, a short fixed list, are literals.
-Null and empty texts hold nothing; texts are judged one by one, so repeats and ids need nothing special.
+freed of all but letters, marks and digits at both ends; what is left empty, as comment signs, is no word. Windows of
+two blocks of ``BLOCK`` shingles overlap by one block; templates are cut into windows of the same length at every
+word. Each window has ``BANDS`` minima, each a band of its own; a text and a template that share a band value are a
+candidate. A template of more than ``TINY`` shingles shares a window of similarity 0.36 or more with a text that
+holds four fifths of its shingles, so it is retrieved with a probability over 0.999, and longer ones share many such
+windows. Candidates are then decided by exact containment of the template's shingles in the text's.
+
+Templates of up to ``TINY`` shingles, and those shorter than a shingle, are sought in windows of one shingle (of their
+own number of words, if that is less than five), whose minimum is the shingle itself: a text that holds four fifths
+of so few holds at least one of any two, so both of the template's least shingles are bands.
+
+There is no shuffle: the templates, a table or mapping of ``MOST_BYTES`` at most (checked), are literals. Null and
+empty texts hold nothing; very long ones are scanned whole; texts are judged one by one, so repeated rows give
+repeated results, and ids and ties need nothing special. An empty table gives no rows. Other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHINGLE, BANDS, TINY, WINDOWS = 5, 16, 5, ((3, 1), (8, 4))
+SHINGLE, BANDS, TINY, BLOCK, MOST_BYTES = 5, 16, 5, 4, 16 << 20
 #: Names and notices of public licenses.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
@@ -38,7 +41,7 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
-#: Further passages of the same licenses; the SQL of op7 does not have them.
+#: Further passages of the same licenses.
 PASSAGES = {
     "MIT-notice-clause": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "MIT-disclaimer": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
@@ -50,7 +53,7 @@ PASSAGES = {
     "GPL-disclaimer": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "ISC-disclaimer": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
 }
-#: Notices shorter than a shingle. The SQL of op7 has no rows for them, so they have a query of their own.
+#: Notices shorter than a shingle.
 SHORT_NOTICES = {
     "All-rights-reserved": "All rights reserved.",
     "Apache-2.0-name": "Apache License, Version 2.0",
@@ -83,21 +86,43 @@ def _combined(hashes: str) -> Column:
     return F.when(n >= SHINGLE, _windows(hashes, SHINGLE)).when(n > 0, F.array(F.xxhash64(many))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _minima(shingles: str, every_word: bool) -> Column:
-    """The band values of all windows, each a hash that includes its band's seed."""
-    s = F.col(shingles)
-    found = []
-    for length, step in WINDOWS:
-        last = F.greatest(F.size(s) - length + 1, F.lit(1))
-        # The last window is always taken, so no shingle is left out by the step.
-        starts = F.sequence(F.lit(1), last) if every_word or step == 1 else F.array_append(F.sequence(F.lit(1), last, F.lit(step)), last)
-        for band in range(BANDS):
-            found.append(_window_minima(s, starts, length, band))
-    return F.array_distinct(F.flatten(F.array(*found)))
+def _seeds() -> list[int]:
+    """One number for each band, from a fixed generator."""
+    rng = random.Random(707)
+    return [rng.getrandbits(63) for _ in range(BANDS)]
+
+
+def _lesser(a: Column, b: Column) -> Column:
+    return F.least(a, F.coalesce(b, a))
+
+
+def _minima(shingles: str) -> Column:
+    """The band values of all windows of two blocks; the last window may be shorter. Values of different bands are
+    kept apart by their last bits."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(shingles), F.lit(1)), F.lit(BLOCK))
+    return F.flatten(F.array(*(_band(F.col(shingles), starts, band, seed) for band, seed in enumerate(_seeds()))))
+
+
+def _band(s: Column, starts: Column, band: int, seed: int) -> Column:
+    """One band's values."""
+    least = F.transform(starts, lambda k: F.array_min(F.transform(F.slice(s, k, BLOCK), lambda x: x.bitwiseXOR(F.lit(seed)))))
+    windows = F.zip_with(least, F.slice(least, F.lit(2), F.greatest(F.size(least) - 1, F.lit(1))), _lesser)
+    return F.transform(windows, lambda v: _banded(v, band))
 
 
-def _window_minima(s: Column, starts: Column, length: int, band: int) -> Column:
-    return F.transform(starts, lambda k: F.array_min(F.transform(F.slice(s, k, length), lambda x: F.xxhash64(x, F.lit(band)))))
+def _banded(value: Column, band: int) -> Column:
+    return F.shiftleft(value, 4).bitwiseXOR(F.lit(band))
+
+
+def _template_bands(sets: list[int]) -> set[int]:
+    """The same values for all windows of a template, at every shingle."""
+    out = set()
+    for band, seed in enumerate(_seeds()):
+        values = [x ^ seed for x in sets]
+        for k in range(max(1, len(values) - 2 * BLOCK + 1)):
+            v = min(values[k : k + 2 * BLOCK]) << 4 & (1 << 64) - 1
+            out.add((v - (1 << 64) if v >> 63 else v) ^ band)
+    return out
 
 
 def _once(value: Column) -> Column:
@@ -110,44 +135,65 @@ def _longs(values: list[int]) -> Column:
     return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), "array<bigint>")
 
 
-def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, containment: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each text and template found in it: id_col, license, template_shingles, shared_shingles."""
-    spark: SparkSession = df.sparkSession
-    given = spark.range(1, numPartitions=1).select(F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.lit(v).alias("text")) for k, v in templates.items()))).alias("t")).select("t.*")
-    given = given.select("name", _once(_shingles("text")).alias("h")).select("name", F.size("h").alias("n"), _once(_combined("h")).alias("s"))
-    given = given.where(F.size("s") > 0).select("name", "n", "s", _once(_minima("s", True)).alias("bands")).select("name", "n", F.array_distinct("s").alias("s"), "bands").collect()
+def _known(spark: SparkSession, templates: dict[str, str] | DataFrame) -> list:
+    """Name, number of words and shingles in order of each template with a word."""
+    if isinstance(templates, DataFrame):
+        given = templates.select(F.col("name"), F.col("text"))
+        if (given.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > MOST_BYTES:
+            raise ValueError(f"templates of more than {MOST_BYTES} bytes; scan with parts of them")
+    else:
+        named = F.array(*(F.struct(F.lit(k).alias("name"), F.lit(v).alias("text")) for k, v in templates.items()))
+        given = spark.range(1, numPartitions=1).select(F.explode(named).alias("t")).select("t.*")
+    hashed = given.select("name", _once(_shingles("text")).alias("h")).select("name", F.size("h").alias("n"), _once(_combined("h")).alias("s"))
+    return hashed.where(F.size("s") > 0).collect()
+
+
+def scan(df: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES, containment: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each text and template (name, text) found in it: id_col, license, template_shingles,
+    shared_shingles. The containment is 0.8 at least, else small templates may be missed."""
+    given = _known(df.sparkSession, templates)
     if not given:
         return df.limit(0).select(F.col(id_col).cast("long").alias(id_col), F.lit("").alias("license"), F.lit(0).alias("template_shingles"), F.lit(0).alias("shared_shingles"))
-    long = [t for t in given if len(t.s) > TINY]
-    tiny = sorted({x for t in given if t.n >= SHINGLE and len(t.s) <= TINY for x in t.s})
-    short: dict[int, set[int]] = {}
+    small = lambda t: t.n < SHINGLE or len(set(t.s)) <= TINY
+    least_two = lambda t: sorted(set(t.s))[:2]
+    bands, windows = set(), {}
     for t in given:
-        if t.n < SHINGLE:
-            short.setdefault(t.n, set()).update(t.s)
-    all_shingles, all_bands = _longs(sorted({x for t in long for x in t.s})), _longs(sorted({x for t in long for x in t.bands}))
-    known = F.array(*(F.struct(F.lit(t.name).alias("name"), _longs(t.s).alias("s"), _longs(t.bands if len(t.s) > TINY else []).alias("bands")) for t in given))
+        if small(t):
+            windows.setdefault(min(t.n, SHINGLE), set()).update(least_two(t))
+        else:
+            bands |= _template_bands(t.s)
+    # The text's values become the hash set, and the literals are passed over.
+    known = F.array(*(F.struct(F.lit(t.name).alias("name"), _longs(sorted(set(t.s))).alias("s"), _longs(sorted(least_two(t) if small(t) else _template_bands(t.s))).alias("bands")) for t in given))
     none = F.array().cast("array<bigint>")
-    brief = [F.when(F.size("h") >= n, F.array_intersect(_windows("h", n), _longs(sorted(keys)))).otherwise(none) for n, keys in sorted(short.items())]
+    short = sorted(n for n in windows if n < SHINGLE)
+    brief = [F.when(F.size("h") >= n, F.array_intersect(_longs(sorted({x for t in given if t.n == n for x in t.s})), _windows("h", n))).otherwise(none) for n in short]
     rows = df.select(F.col(id_col).cast("long").alias(id_col), _once(_shingles(text_col)).alias("h"))
-    rows = rows.select(id_col, "h", (_once(F.concat(*brief)) if brief else none).alias("brief")).select(id_col, "brief", _once(_combined("h")).alias("s"))
-    rows = rows.select(id_col, "s", _once(F.concat("brief", F.array_intersect("s", _longs(tiny)))).alias("brief"))
-    rows = rows.where(F.arrays_overlap("s", all_shingles) | (F.size("brief") > 0))
-    rows = rows.select(id_col, "s", "brief", _once(F.array_intersect(_minima("s", False), all_bands)).alias("hits")).where((F.size("hits") > 0) | (F.size("brief") > 0))
-    rows = rows.select(id_col, "s", "brief", F.explode(F.filter(known, lambda t: F.arrays_overlap(t.bands, F.col("hits")) | F.arrays_overlap(t.s, F.col("brief")))).alias("t"))
+    rows = rows.select(id_col, (_once(F.concat(*brief)) if brief else none).alias("brief"), _once(_combined("h")).alias("s"))
+    ones = F.array_intersect(_longs(sorted(windows.get(SHINGLE, ()))), "s")
+    rows = rows.select(id_col, "s", "brief", _once(F.concat("brief", ones, F.array_intersect(_longs(sorted(bands)), _minima("s")))).alias("hits")).where(F.size("hits") > 0)
+    rows = rows.select(id_col, "s", "brief", F.explode(F.filter(known, lambda t: F.arrays_overlap(t.bands, F.col("hits")))).alias("t"))
     rows = rows.select(id_col, F.col("t.name").alias("license"), F.size("t.s").alias("template_shingles"), F.size(F.array_intersect("t.s", F.concat("s", "brief"))).alias("shared_shingles"))
     return rows.where(F.col("shared_shingles") >= containment * F.col("template_shingles") - 1e-9)
 
 
 def oracle(templates: dict[str, str] = TEMPLATES) -> str:
-    """Plain SQL for the same result where words have the same signs at their ends as the templates' (elsewhere the
-    scan finds more): every text's shingles against every template's."""
+    """Plain SQL for the same result: every text's shingles against every template's, of as many words as the
+    template has if these are fewer than five."""
     values = ", ".join(f"('{k}', '" + v.replace("'", "''") + "')" for k, v in templates.items())
-    cut = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')".format
-    grams = "CASE WHEN len(w) >= 5 THEN list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
-    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
+    sign = "[^\\p{L}\\p{M}\\p{N}]+"
+    split = "regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+')".format
+    cut = lambda c: f"list_filter(list_transform({split(c)}, lambda w: regexp_replace(w, '^{sign}|{sign}$', '', 'g')), lambda w: w <> '')"
+    grams = "list_distinct(list_transform(generate_series(1, len(w) - {0} + 1), lambda i: array_to_string(w[i:i + {0} - 1], ' ')))".format
     return f"""
-WITH t AS (SELECT name, unnest(list_distinct(g)) AS g, len(list_distinct(g)) AS n FROM (SELECT name, {grams} AS g FROM (SELECT name, {cut(low('text'))} AS w FROM (VALUES {values}) v(name, text)))),
-d AS (SELECT doc_id, unnest(list_distinct(g)) AS g FROM (SELECT doc_id, {grams} AS g FROM (SELECT doc_id, {cut(low("coalesce(text, '')"))} AS w FROM documents)))
+WITH tw AS (SELECT name, {cut('text')} AS w FROM (VALUES {values}) v(name, text)),
+tg AS (SELECT name, least(len(w), {SHINGLE}) AS k, {grams(f'least(len(w), {SHINGLE})')} AS g FROM tw),
+t AS (SELECT name, k, len(g) AS n, unnest(g) AS g FROM tg),
+dw AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, {cut("coalesce(text, '')")} AS w FROM documents),
+dg AS (SELECT d, doc_id, k, unnest({grams('k')}) AS g FROM dw, (SELECT DISTINCT k FROM t) WHERE len(w) >= k)
 SELECT doc_id, name AS license, CAST(n AS INTEGER) AS template_shingles, CAST(count(*) AS INTEGER) AS shared_shingles
-FROM d JOIN t USING (g) GROUP BY doc_id, name, n HAVING count(*) >= 0.8 * n - 1e-9
+FROM dg JOIN t USING (k, g) GROUP BY d, doc_id, name, n HAVING count(*) >= 0.8 * n - 1e-9
 """
+
+
+#: All that op7 seeks.
+ALL = TEMPLATES | PASSAGES | SHORT_NOTICES

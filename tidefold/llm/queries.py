@@ -62,14 +62,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidefold.llm import license_scan
 
-    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.TEMPLATES | license_scan.PASSAGES)
-
-
-def op7_short_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notices shorter than a shingle, which the SQL of op7_license_scan leaves out."""
-    from tidefold.llm import license_scan
-
-    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.SHORT_NOTICES)
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.ALL)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +97,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontaminate": oracles.decontaminate(),
         "op4_preference": preference.ORACLE,
         "op5_setsketch_dedup": oracles.near_duplicates(4, 80),
-        "op7_license_scan": license_scan.oracle(),
+        "op7_license_scan": license_scan.oracle(license_scan.ALL),
         "op8_language_id": oracles.language(),
         "op9_quality_rules": oracles.quality(),
     }
