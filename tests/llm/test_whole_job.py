@@ -59,7 +59,7 @@ def test_short_notices_are_found_inside_documents(spark):
     both = license_scan.scan(docs, license_scan.TEMPLATES | license_scan.SHORT_NOTICES)
     got = sorted((r.doc_id, r.license, r.template_shingles, r.shared_shingles) for r in both.collect())
     assert got == [(0, "All-rights-reserved", 1, 1), (2, "All-rights-reserved", 1, 1), (4, "SPDX-MIT", 1, 1)]
-    rows = queries.queries()["op7_short_notices"](spark, SF).where("license = 'All-rights-reserved'").collect()
+    rows = queries.queries()["op7_license_scan"](spark, SF).where("license = 'All-rights-reserved'").collect()
     held = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").where("text like '%All rights reserved.%'").collect()}
     assert held and {r.doc_id for r in rows} == held and len(rows) == len(held)
 
@@ -73,7 +73,7 @@ def test_commented_and_wrapped_license_headers_are_found(spark, tmp_path):
     texts = [apache, commented("MIT-permission", "/*", " * ", " */"), commented("BSD-3-endorsement", "//", "// "), commented("GPL-disclaimer", "", "-- "), "see - the ***** License", "/" * 300_000 + " " + "-" * 300_000 + "x"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r.doc_id, r.license) for r in queries.queries()["op7_license_scan"](spark, str(tmp_path)).collect()}
-    assert got == {(0, "Apache-2.0"), (0, "Apache-2.0-notice"), (1, "MIT-permission"), (2, "BSD-3-endorsement"), (3, "GPL-disclaimer")}
+    assert got == {(0, "Apache-2.0"), (0, "Apache-2.0-name"), (0, "Apache-2.0-notice"), (1, "MIT-permission"), (2, "BSD-3-endorsement"), (3, "GPL-disclaimer"), (3, "GPL-name")}
 
 
 def test_suffix_statistics_count_all_labelled_rows(spark):

@@ -12,7 +12,9 @@ least score that a text of a language and length may have from the training rows
 quantile ``LOW``, or ``HALF`` of their median where that is more (so a few wrongly labelled rows do not open it).
 
 Whole texts count, in training (every row with a text and a language; counts are added up in the tasks before any
-shuffle) and in prediction (no shuffle). Other columns pass through ``keep``.
+shuffle) and in prediction (no shuffle); a very long text is one task's work, in a batch of its own. Texts are
+predicted one by one, so repeated rows and equal ids need nothing special; empty tables give no rows. Other columns
+pass through ``keep``, whatever their names, and are not read by ``predict``.
 """
 
 from __future__ import annotations

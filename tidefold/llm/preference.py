@@ -4,9 +4,12 @@ Both conversations of a pair are turns (role, text) in order. Their longest comm
 the prompt; the rest of each is its completion. A completion's mask lists runs of characters: ``+n`` are to be
 learned (an assistant's text and end marker), ``-n`` are not (headers and other roles' turns).
 
-Roles and texts compare as values, nulls equal to nulls; a null role or text renders as empty. Rows with equal
-keys and turn numbers stand in order of role and text. A pair with one side only has an empty other side. Null
-pair ids are one pair. If both sides are equal, the prompt is everything and the completions are empty.
+Roles and texts compare as values, nulls equal to nulls; a null role or text renders as empty. Turns of equal number
+stand in order of role and text, and repeated turns are turns of their own. A pair with one side only has an empty
+other side. A row without a pair id is a pair of its own with one turn on its side, as nothing tells what belongs to
+it. A conversation is put together in one task, so it must fit there, as any one row must; very long texts do not
+matter beyond that. If both sides are equal, the prompt is everything and the completions are empty. Empty tables give no
+rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 
 def _turns(df: DataFrame, pair_col: str, name: str) -> DataFrame:
     whole = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    return df.groupBy(pair_col).agg(F.transform(whole, lambda t: F.struct(t.role.alias("role"), t.text.alias("text"))).alias(name))
+    return df.where(F.col(pair_col).isNotNull()).groupBy(pair_col).agg(F.transform(whole, lambda t: F.struct(t.role.alias("role"), t.text.alias("text"))).alias(name))
 
 
 def _header(t: Column) -> Column:
@@ -45,13 +48,21 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, pair_col: str) -> DataF
     Both inputs have pair_col, turn, role and text; other columns are not read.
     """
     a, b = _turns(chosen, pair_col, "a"), _turns(rejected, pair_col, "b").withColumnRenamed(pair_col, "_pair")
-    both = a.join(b, a[pair_col].eqNullSafe(b["_pair"]), "full_outer").select(F.coalesce(pair_col, "_pair").alias(pair_col), F.coalesce("a", F.array().cast("array<struct<role:string,text:string>>")).alias("a"), F.coalesce("b", F.array().cast("array<struct<role:string,text:string>>")).alias("b"))
+    both = a.join(b, a[pair_col] == b["_pair"], "full_outer").select(F.coalesce(pair_col, "_pair").alias(pair_col), F.coalesce("a", F.array().cast("array<struct<role:string,text:string>>")).alias("a"), F.coalesce("b", F.array().cast("array<struct<role:string,text:string>>")).alias("b"))
     least = F.least(F.size("a"), F.size("b"))
     same = F.zip_with(F.slice("a", F.lit(1), least), F.slice("b", F.lit(1), least), lambda x, y: x.role.eqNullSafe(y.role) & x.text.eqNullSafe(y.text))
     both = both.withColumn("_off", F.array_position(same, False).cast("int")).withColumn("n_prompt_turns", F.when(F.col("_off") == 0, least).otherwise(F.col("_off") - 1))
     n = F.col("n_prompt_turns")
     rest = lambda c: F.slice(c, n + 1, F.size(c))
-    return both.select(pair_col, n, _rendered(F.slice("a", F.lit(1), n)).alias("prompt"), _rendered(rest("a")).alias("chosen"), _rendered(rest("b")).alias("rejected"), _mask(rest("a")).alias("chosen_mask"), _mask(rest("b")).alias("rejected_mask"))
+    pairs = both.select(pair_col, n, _rendered(F.slice("a", F.lit(1), n)).alias("prompt"), _rendered(rest("a")).alias("chosen"), _rendered(rest("b")).alias("rejected"), _mask(rest("a")).alias("chosen_mask"), _mask(rest("b")).alias("rejected_mask"))
+    return pairs.union(_alone(chosen, pair_col, True)).union(_alone(rejected, pair_col, False))
+
+
+def _alone(df: DataFrame, pair_col: str, is_chosen: bool) -> DataFrame:
+    """The rows without a pair id, in the form of pairs."""
+    turn, none = F.array(F.struct("role", "text")), F.lit("")
+    side = lambda c: (c, none) if is_chosen else (none, c)
+    return df.where(F.col(pair_col).isNull()).select(pair_col, F.lit(0), none, *side(_rendered(turn)), *side(_mask(turn)))
 
 
 def answered_by_next(turns: DataFrame) -> DataFrame:
@@ -78,5 +89,8 @@ SELECT conv_id, CAST(p AS INTEGER) AS n_prompt_turns,
   coalesce(string_agg(h || y, '' ORDER BY k) FILTER (k > p), '') AS rejected,
   coalesce(string_agg(CASE WHEN role = 'assistant' THEN '-' || length(h) || ',+' || length(x) ELSE '-' || length(h || x) END, ',' ORDER BY k) FILTER (k > p), '') AS chosen_mask,
   coalesce(string_agg(CASE WHEN role = 'assistant' THEN '-' || length(h) || ',+' || length(y) ELSE '-' || length(h || y) END, ',' ORDER BY k) FILTER (k > p), '') AS rejected_mask
-FROM r GROUP BY conv_id, p
+FROM r WHERE conv_id IS NOT NULL GROUP BY conv_id, p
+UNION ALL
+SELECT conv_id, CAST(0 AS INTEGER), '', CASE WHEN s = 1 THEN h || x ELSE '' END, CASE WHEN s = 2 THEN h || x ELSE '' END, CASE WHEN s = 1 THEN m ELSE '' END, CASE WHEN s = 2 THEN m ELSE '' END
+FROM (SELECT *, CASE WHEN role = 'assistant' THEN '-' || length(h) || ',+' || length(x) ELSE '-' || length(h || x) END AS m FROM r WHERE conv_id IS NULL), (VALUES (1), (2)) v(s)
 """

@@ -6,8 +6,13 @@ from the fullest to the emptiest shard while that evens out their bytes, and the
 version. Only the map, of SLOTS rows whatever the input, passes through the driver and is broadcast.
 
 A record's place in its shard is the number of records in the shard's earlier slots plus its place in its own
-slot (in order of id, then checksum and size), so no task sorts a whole shard. Null texts have no bytes, null ids
-hash like a value of their own; equal rows share a slot in any order; an empty table has a map and no rows. Only
+slot (in order of id, then checksum and size), so no task sorts a whole shard. The law is ``bytes``: shards hold nearly
+equal bytes. Groups of equal texts are therefore not kept together, as one may hold a third of all bytes: records are
+dealt by id and checksum, so copies of different ids lie in different slots. Records of equal id and text (or both
+null) cannot be told apart and share a slot, and where these alone hold more than a shard's share, the law is lost.
+
+Null texts have no bytes, null ids hash like a value of their own; equal rows share a slot in any order; a very long
+text moves with its slot, so shards are even up to the largest slot; an empty table has a map and no rows. Only
 DataFrame functions touch the records; other columns stay with them in ``assign``, but for those named like the
 operator's own results (text_crc32, size, virtual_slot, shard, slot), which are replaced.
 """
@@ -41,8 +46,10 @@ class SlotMap:
         return cls(shards, [k % shards for k in range(slots)])
 
     def rebalanced(self, sizes: list[int], shards: int | None = None) -> SlotMap:
-        """The next version, evened out for the given bytes of each slot (over more shards, if given)."""
+        """The next version, evened out for the given bytes of each slot. Over more shards, if given, slots move to the
+        new ones only."""
         n, of = shards or self.shards, list(self.of)
+        takers = range(self.shards, n) if n > self.shards else range(n)
         held: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         total = [0] * n
         for slot, s in enumerate(of):
@@ -51,10 +58,12 @@ class SlotMap:
         for h in held:
             h.sort()
         while True:
-            full, empty = max(range(n), key=lambda k: (total[k], -k)), min(range(n), key=lambda k: (total[k], k))
+            full, empty = max(range(n), key=lambda k: (total[k], -k)), min(takers, key=lambda k: (total[k], k))
             half = (total[full] - total[empty]) // 2
             at = bisect.bisect_right(held[full], (half, len(of))) - 1
             if at < 0 or held[full][at][0] <= 0:
+                if n > self.shards:
+                    return SlotMap(n, of, self.version + 1)
                 # No move helps: exchange two slots, if that takes off a tenth of a percent of a shard.
                 gap, best = total[full] - total[empty], (max(1, sum(total) // n // 1000), -1, -1)
                 for i, (size, _) in enumerate(held[full]):

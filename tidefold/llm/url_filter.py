@@ -7,9 +7,11 @@ urls under the last label and the last two). The statistics count all labelled r
 suffix and fold, stay a table, and are joined to the urls. The trees are fitted on the driver on at most
 ``most_labelled`` distinct labelled urls, those of least hash, each weighted by its rows, and travel as small arrays.
 
-A null url, or one without ``://``, has empty host and path, fits no rule and is judged as the empty string.
-Urls are judged one by one; without labels of both kinds all scores are the
-share of bad labels (0 without labels). Scoring is a map step after the joins; other columns are not read.
+A null url, or one without ``://``, has empty host and path, fits no rule and is judged as the empty string (null)
+or by its whole text; very long urls are judged whole. Urls are judged one by one, so repeated rows, equal ids and
+ties need nothing special; rules of equal length and host are the same rule. An empty table gives no rows; without
+labels of both kinds all scores are the share of bad labels (0 without labels). Scoring is a map step after the
+joins; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.shared import lean, written
+from tidefold.llm.shared import forget, lean, written
 
 FOLDS = 5
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -193,11 +195,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, most_labelled: int = 20_000) -> UrlModel:
     """Fit on rows (url string, bad int): the statistics on all, the trees on at most that many distinct urls."""
     spark = labelled.sparkSession
-    known = lean(labelled).where("url is not null and bad is not null").select("url", F.col("bad").cast("int").alias("bad"))
+    labelled = lean(labelled)
+    known = labelled.where("url is not null and bad is not null").select("url", F.col("bad").cast("int").alias("bad"))
     counts = written(known.mapInArrow(_count, "suffix string, fold int, bad long, n long").groupBy("suffix", "fold").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")), "suffix-counts")
     folds = {r.fold: (r.n, r.bad) for r in counts.where("suffix is null").collect()}
     total, bad = (sum(v[k] for v in folds.values()) for k in (0, 1))
-    rows = known.groupBy("url").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).orderBy(F.xxhash64("url"), "url").limit(most_labelled).collect()
+    urls = written(known.groupBy("url").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).withColumn("h", F.shiftrightunsigned(F.xxhash64("url"), 1)), "labelled-urls")
+    # Those of least hash: only hashes below a bound reach the driver, where a fifth more than wanted are to be expected.
+    bound = min((1 << 63) - 1, int((1 << 63) * (1.2 * most_labelled + 200) / max(1, urls.count())))
+    rows = sorted(urls.where(F.col("h") <= bound).collect(), key=lambda r: (r.h, r.url))[:most_labelled]
+    forget(urls)
     model = UrlModel([], [])
     model.stats = SuffixStatistics.counted(total, bad)
     model.table = counts.where("suffix is not null").groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
