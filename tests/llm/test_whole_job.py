@@ -83,7 +83,7 @@ def test_suffix_statistics_count_all_labelled_rows(spark):
     model = url_filter.fit(labelled, most_labelled=100)
     got = {r.suffix: (r.bad, r.n) for r in model.table.collect()}
     assert got == {"com": (200, 400), "bad.com": (200, 200), "good.com": (0, 200), "org": (200, 200), "often.org": (200, 200)}
-    assert (model.stats.total, model.stats.prior) == (600, 400 / 600)
+    assert (model.known.total, model.known.prior) == (600, 400 / 600)
     pages = spark.createDataFrame([(1, "http://z.bad.com/7"), (2, "http://z.good.com/8"), (3, None)], "page_id long, url string")
     rows = {r.page_id: r.verdict for r in url_filter.judge(pages, [], model).collect()}
     assert rows[1] == "block" and rows[2] == "allow" and len(rows) == 3

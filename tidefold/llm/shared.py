@@ -3,35 +3,21 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[int, str] = {}
+from tidefold.functions.sessions import twin
+from tidefold.sources.scratch import shared_dir
+
 _held: ContextVar[list[str] | None] = ContextVar("held", default=None)
 #: Settings of the operators' own session. Arrow batches of bounded bytes keep memory flat however long single texts
 #: are; shuffle files go once the query that made them has ended, as every result between is a written table.
 LEAN = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master gets one
-    of our own (tests); a cluster has no folder that we may choose for it, so there it is an error."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.partition("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        key = id(spark.sparkContext)
-        if key not in _own:
-            _own[key] = tempfile.mkdtemp(prefix="tidefold-")
-            spark.sparkContext.setCheckpointDir(_own[key])
-        named = _own[key]
-    return named.rstrip("/")
-
-
 def fresh_dir(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if (held := _held.get()) is not None:
@@ -85,13 +71,9 @@ def unused(df: DataFrame, name: str) -> str:
 def lean(df: DataFrame) -> DataFrame:
     """The frame in a session of the operators' own, with the caller's settings and LEAN; the caller's session stays
     as it is. Frames of both sessions can be joined."""
-    spark = df.sparkSession
-    own = spark._jsparkSession.cloneSession()
-    twin = SparkSession(spark.sparkContext, own)
-    for k, v in LEAN.items():
-        twin.conf.set(k, v)
-    of = spark.sparkContext._jvm.org.apache.spark.sql.classic.Dataset.ofRows
-    return DataFrame(of(own, df._jdf.queryExecution().analyzed()), twin)
+    own = twin(df.sparkSession, LEAN)
+    rows = own.sparkContext._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.queryExecution().analyzed())
+    return DataFrame(rows, own)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

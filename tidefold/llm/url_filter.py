@@ -2,8 +2,8 @@
 
 Rules fit a host and its subdomains if the url's path starts with the rule's path; the longest fitting rule wins.
 Urls that no rule fits are judged by boosted trees with features of the url alone: length, depth, digit ratio,
-entropy, parameter count, the host's shape, and statistics of its suffixes (smoothed rates and counts of labelled
-urls under the last label and the last two). The statistics count all labelled rows: they are added up for each
+entropy of its bytes, parameter count, the host's shape, and statistics of its suffixes (smoothed rates and counts of
+labelled urls under the last label and the last two). The statistics count all labelled rows: they are added up for each
 suffix and fold, stay a table, and are joined to the urls. The trees are fitted on the driver on at most
 ``most_labelled`` distinct labelled urls, those of least hash, each weighted by its rows, and travel as small arrays.
 
@@ -17,15 +17,16 @@ joins; other columns are not read, whatever their names.
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidefold.llm.columnar import flat
 from tidefold.llm.shared import forget, lean, written
 
 FOLDS = 5
@@ -60,46 +61,49 @@ class Rules:
         return max(found)[1:] if found else (None, None)
 
 
-class SuffixStatistics:
-    """Bad and all labelled urls under each suffix of one or two labels."""
-
-    def __init__(self, urls: list[str], bad: np.ndarray, weight: float = 20.0):
-        self.weight, self.prior = weight, float(bad.mean()) if len(bad) else 0.0
-        self.bad: Counter[str] = Counter()
-        self.all: Counter[str] = Counter()
-        self.total = len(urls)
-        for u, y in zip(urls, bad.tolist()):
-            for s in self.suffixes(host_path(u)[0]):
-                self.bad[s] += int(y)
-                self.all[s] += 1
-
-    @classmethod
-    def counted(cls, total: int, bad: int) -> SuffixStatistics:
-        """Of so many rows; the suffixes' counts are put in later."""
-        stats = cls([], np.zeros(0))
-        stats.total, stats.prior = total, bad / total if total else 0.0
-        return stats
-
-    @staticmethod
-    def suffixes(host: str) -> list[str]:
-        labels = host.split(".")
-        return [labels[-1], ".".join(labels[-2:])]
+def suffixes(host: str) -> list[str]:
+    """The last label and the last two."""
+    labels = host.split(".")
+    return [labels[-1], ".".join(labels[-2:])]
+
+
+def parts_of(url: str) -> Column:
+    """Struct of host, path and query (after the first question mark, up to a number sign) in SQL functions."""
+    u = F.coalesce(url, F.lit(""))
+    cut = lambda pattern, k: F.regexp_extract(u, pattern, k)
+    place = "(?s)^.*?://([^/?#]*)([^?#]*)"
+    host = F.translate(cut(place, 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.struct(host.alias("host"), cut(place, 2).alias("path"), cut("(?s)^[^?]*[?]([^#]*)", 1).alias("query"))
+
+
+@dataclass(frozen=True)
+class Labelled:
+    """How many labelled rows there are, and the share of bad ones; suffixes' rates are smoothed towards it."""
 
-    def features(self, host: str) -> list[float]:
-        """Smoothed rates, and counts as a share of all labelled urls."""
-        out = []
-        for s in self.suffixes(host):
-            out += [(self.bad[s] + self.weight * self.prior) / (self.all[s] + self.weight), self.all[s] / max(1, self.total)]
-        return out
+    total: int = 0
+    prior: float = 0.0
+    weight: float = 20.0
 
 
-def features(url: str | None, stats: SuffixStatistics) -> list[float]:
-    u = url or ""
-    host, path = host_path(u)
-    n = max(len(u), 1)
-    counts = Counter(u)
-    query = _cut(u.partition("?")[2], "#")
-    return [len(u), path.count("/"), sum(c.isdigit() for c in u) / n, -sum(c / n * math.log2(c / n) for c in counts.values()), sum(bool(p) for p in query.split("&")), len(host), host.count("."), host.count("-"), len(path), sum(c.isdigit() for c in host), *stats.features(host)]
+def entropy(urls: pa.Array) -> np.ndarray:
+    raw, at = flat(urls)
+    n, lens = len(urls), np.diff(at)
+    counts = np.zeros((n, 256), dtype=np.float64)
+    np.add.at(counts, (np.repeat(np.arange(n), lens), raw), 1)
+    share = counts / np.maximum(lens, 1)[:, None]
+    return -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1)
+
+
+def features(urls: pa.Array, hosts: pa.Array, paths: pa.Array, queries: pa.Array, counts: list[tuple[np.ndarray, np.ndarray]], known: Labelled) -> np.ndarray:
+    """One row for each url; counts: bad and all labelled rows under each url's last label, and under its last two."""
+    number = lambda x: x.to_numpy(zero_copy_only=False).astype(np.float64)
+    size, many = lambda x: number(pc.utf8_length(x)), lambda x, sign: number(pc.count_substring(x, sign))
+    digits = lambda x: number(pc.count_substring_regex(x, "[0-9]"))
+    length = size(urls)
+    columns = [length, many(paths, "/"), digits(urls) / np.maximum(length, 1), entropy(urls), number(pc.count_substring_regex(queries, "[^&]+")), size(hosts), many(hosts, "."), many(hosts, "-"), size(paths), digits(hosts)]
+    for bad, n in counts:
+        columns += [(bad + known.weight * known.prior) / (n + known.weight), n / max(1, known.total)]
+    return np.stack(columns, axis=1)
 
 
 class BoostedTrees:
@@ -156,104 +160,80 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-score))
 
 
+@dataclass
 class UrlModel:
-    #: Suffixes with their counts, where they are not in stats.
-    table: DataFrame | None = None
-
-    def __init__(self, urls: list[str], bad: list[int]):
-        y = np.array(bad, dtype=np.float64)
-        self.stats = SuffixStatistics(urls, y)
-        # A training url's suffix statistics come from the other folds, so its own label is not among its features.
-        fold = np.array([zlib.crc32(u.encode()) % FOLDS for u in urls], dtype=np.int64)
-        others = [SuffixStatistics([u for u, f in zip(urls, fold) if f != k], y[fold != k]) for k in range(FOLDS)]
-        x = np.array([features(u, others[f]) for u, f in zip(urls, fold)], dtype=np.float64) if urls else np.zeros((0, 14))
-        self.trees = BoostedTrees(x, y)
-
-    def score(self, urls: list[str | None]) -> np.ndarray:
-        return self.trees.predict(np.array([features(u, self.stats) for u in urls], dtype=np.float64)) if urls else np.zeros(0)
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bad and all rows of each suffix and fold; a null suffix stands for all rows of the fold."""
-    got: dict[tuple[str | None, int], list[int]] = {}
-
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in got], pa.string()), pa.array([k[1] for k in got], pa.int32()), pa.array([v[0] for v in got.values()], pa.int64()), pa.array([v[1] for v in got.values()], pa.int64())], ["suffix", "fold", "bad", "n"])
-
-    for b in batches:
-        for u, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            for s in (None, *SuffixStatistics.suffixes(host_path(u)[0])):
-                v = got.setdefault((s, zlib.crc32(u.encode()) % FOLDS), [0, 0])
-                v[0], v[1] = v[0] + y, v[1] + 1
-        if len(got) > 100_000:
-            yield batch()
-            got = {}
-    if got:
-        yield batch()
+    known: Labelled
+    trees: BoostedTrees
+    #: Every suffix of a labelled url with its bad and all rows.
+    table: DataFrame
 
 
 def fit(labelled: DataFrame, most_labelled: int = 20_000) -> UrlModel:
     """Fit on rows (url string, bad int): the statistics on all, the trees on at most that many distinct urls."""
-    spark = labelled.sparkSession
     labelled = lean(labelled)
-    known = labelled.where("url is not null and bad is not null").select("url", F.col("bad").cast("int").alias("bad"))
-    counts = written(known.mapInArrow(_count, "suffix string, fold int, bad long, n long").groupBy("suffix", "fold").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")), "suffix-counts")
+    given = labelled.where("url is not null and bad is not null").select("url", F.col("bad").cast("int").alias("bad"), parts_of("url").alias("p"))
+    urls = written(given.groupBy("url", F.col("p.host").alias("host")).agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).withColumns({"h": F.shiftrightunsigned(F.xxhash64("url"), 1), "fold": F.pmod(F.xxhash64("url", F.lit(5)), F.lit(FOLDS)).cast("int")}), "labelled-urls")
+    # A null suffix stands for all rows of the fold.
+    each = urls.select("fold", "bad", "n", F.explode(F.array(F.lit(None).cast("string"), F.substring_index("host", ".", -1), F.substring_index("host", ".", -2))).alias("suffix"))
+    counts = written(each.groupBy("suffix", "fold").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")), "suffix-counts")
     folds = {r.fold: (r.n, r.bad) for r in counts.where("suffix is null").collect()}
     total, bad = (sum(v[k] for v in folds.values()) for k in (0, 1))
-    urls = written(known.groupBy("url").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).withColumn("h", F.shiftrightunsigned(F.xxhash64("url"), 1)), "labelled-urls")
     # Those of least hash: only hashes below a bound reach the driver, where a fifth more than wanted are to be expected.
     bound = min((1 << 63) - 1, int((1 << 63) * (1.2 * most_labelled + 200) / max(1, urls.count())))
-    rows = sorted(urls.where(F.col("h") <= bound).collect(), key=lambda r: (r.h, r.url))[:most_labelled]
+    rows = sorted(urls.where(F.col("h") <= bound).select("url", "host", "n", "bad", "h", "fold").collect(), key=lambda r: (r.h, r.url))[:most_labelled]
     forget(urls)
-    model = UrlModel([], [])
-    model.stats = SuffixStatistics.counted(total, bad)
-    model.table = counts.where("suffix is not null").groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    known = Labelled(total, bad / total if total else 0.0)
+    # Written, so adaptive execution can split the joins of suffixes that many urls share.
+    table = written(counts.where("suffix is not null").groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")), "suffixes")
     if not rows:
-        return model
+        forget(counts)
+        return UrlModel(known, BoostedTrees(np.zeros((0, 14)), np.zeros(0)), table)
     # A training url's suffix statistics come from the other folds, so its own label is not among its features.
-    others = [SuffixStatistics.counted(total - folds.get(k, (0, 0))[0], bad - folds.get(k, (0, 0))[1]) for k in range(FOLDS)]
-    needed = sorted({s for r in rows for s in SuffixStatistics.suffixes(host_path(r.url)[0])})  # two for each of the urls at most
-    for r in counts.join(F.broadcast(spark.createDataFrame([(s,) for s in needed], "suffix string")), "suffix", "left_semi").collect():
-        for k in range(FOLDS):
-            if k != r.fold:
-                others[k].bad[r.suffix] += r.bad
-                others[k].all[r.suffix] += r.n
-    x = np.array([features(r.url, others[zlib.crc32(r.url.encode()) % FOLDS]) for r in rows], dtype=np.float64)
+    needed = sorted({s for r in rows for s in suffixes(r.host)})  # two for each of the urls at most
+    place = {s: k for k, s in enumerate(needed)}
+    by_fold = np.zeros((2, len(needed), FOLDS))
+    for r in counts.join(F.broadcast(labelled.sparkSession.createDataFrame([(s,) for s in needed], "suffix string")), "suffix", "left_semi").collect():
+        by_fold[:, place[r.suffix], r.fold] = r.bad, r.n
+    forget(counts)
+    others = by_fold.sum(axis=2, keepdims=True) - by_fold
+    fold = np.array([r.fold for r in rows])
+    at = np.array([[place[s] for s in suffixes(r.host)] for r in rows])
+    cut = [(r.host, *parts(r.url)) for r in rows]
+    x = np.zeros((len(rows), 14))
+    for k in range(FOLDS):
+        of = np.flatnonzero(fold == k)
+        if len(of):
+            n, b = (v - folds.get(k, (0, 0))[i] for i, v in enumerate((total, bad)))
+            text = lambda i: pa.array([cut[j][i] for j in of], pa.string())  # noqa: B023, E731
+            x[of] = features(pa.array([rows[j].url for j in of], pa.string()), text(0), text(1), text(2), [(others[0, at[of, i], k], others[1, at[of, i], k]) for i in (0, 1)], Labelled(n, b / n if n else 0.0))
     # A url with labels of both kinds is two rows.
     n, y = np.array([r.n for r in rows], dtype=np.float64), np.array([r.bad for r in rows], dtype=np.float64)
     w = np.concatenate((n - y, y))
-    model.trees = BoostedTrees(np.concatenate((x, x))[w > 0], np.repeat([0.0, 1.0], len(n))[w > 0], w=w[w > 0])
-    return model
+    return UrlModel(known, BoostedTrees(np.concatenate((x, x))[w > 0], np.repeat([0.0, 1.0], len(n))[w > 0], w=w[w > 0]), table)
+
+
+def parts(url: str) -> tuple[str, str]:
+    """Path and query."""
+    return host_path(url)[1], _cut(url.partition("?")[2], "#")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], model: UrlModel, block_at: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """id_col, host, path, rule, verdict and score (probability of a bad url) of each url."""
-    table, stats, trees = Rules(rules), model.stats, model.trees
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ends = [SuffixStatistics.suffixes(host_path(u)[0]) for u in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([e[k] for e in ends], pa.string()) for k in (0, 1))], ["_i", "_u", "_s", "_t"])
+    table, known, trees = Rules(rules), model.known, model.trees
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            urls = b.column(1).to_pylist()
-            for c in range(2, b.num_columns, 3):  # suffixes with their counts
-                for suffix, bad, n in zip(*(b.column(c + k).to_pylist() for k in range(3))):
-                    stats.bad[suffix], stats.all[suffix] = bad, n
-            score = trees.predict(np.array([features(u, stats) for u in urls], dtype=np.float64)) if urls else np.zeros(0)
-            if b.num_columns > 2:
-                stats.bad.clear()
-                stats.all.clear()
-            parts = [host_path(u) for u in urls]
-            found = [table.find(*p) for p in parts]
-            verdict = [v or ("block" if s >= block_at else "allow") for (_, v), s in zip(found, score.tolist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p[0] for p in parts], pa.string()), pa.array([p[1] for p in parts], pa.string()), pa.array([f[0] for f in found], pa.string()), pa.array(verdict, pa.string()), pa.array(score, pa.float64())], [id_col, "host", "path", "rule", "verdict", "score"])
-
-    urls = lean(pages).select(F.col(id_col).cast("long").alias("_i"), F.col(url_col).alias("_u"))
-    if model.table is not None:
-        urls = urls.mapInArrow(cut, "_i long, _u string, _s string, _t string")
-        for k in ("_s", "_t"):
-            urls = urls.join(model.table.select(F.col("suffix").alias(k), F.col("bad").alias(f"{k}b"), F.col("n").alias(f"{k}n")), k, "left")
-        urls = urls.select("_i", "_u", *(c for k in ("_s", "_t") for c in (F.col(k), F.coalesce(f"{k}b", F.lit(0)).alias(f"{k}b"), F.coalesce(f"{k}n", F.lit(0)).alias(f"{k}n"))))
+            ids, urls, hosts, paths, queries, *counts = b.columns
+            bad_and_all = [tuple(c.to_numpy(zero_copy_only=False).astype(np.float64) for c in counts[k : k + 2]) for k in (0, 2)]
+            score = trees.predict(features(urls, hosts, paths, queries, bad_and_all, known))
+            found = [table.find(h, p) for h, p in zip(hosts.to_pylist(), paths.to_pylist())]
+            verdict = np.where(score >= block_at, "block", "allow").tolist()
+            yield pa.RecordBatch.from_arrays([ids, hosts, paths, pa.array([r for r, _ in found], pa.string()), pa.array([v or m for (_, v), m in zip(found, verdict)], pa.string()), pa.array(score, pa.float64())], [id_col, "host", "path", "rule", "verdict", "score"])
+
+    urls = lean(pages).select(F.col(id_col).cast("long").alias("_i"), F.coalesce(url_col, F.lit("")).alias("_u"), parts_of(url_col).alias("p"))
+    urls = urls.select("_i", "_u", F.col("p.host").alias("_h"), F.col("p.path").alias("_p"), F.col("p.query").alias("_q"))
+    for k, labels in (("_s", 1), ("_t", 2)):
+        counted = model.table.select(F.col("suffix").alias(k), F.col("bad").alias(f"{k}b"), F.col("n").alias(f"{k}n"))
+        urls = urls.withColumn(k, F.substring_index("_h", ".", -labels)).join(counted, k, "left")
+    urls = urls.select("_i", "_u", "_h", "_p", "_q", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("_sb", "_sn", "_tb", "_tn")))
     return urls.mapInArrow(run, f"{id_col} long, host string, path string, rule string, verdict string, score double")
