@@ -1,12 +1,12 @@
 """License scan by MinHash bands over overlapping text windows, in DataFrame functions only.
 
 A text is its 5-word shingles in order (fewer words are one shingle). Words are split at white space, case folded and
-freed of all but letters, marks and digits at both ends; what is left empty, as comment signs, is no word. Windows of
-two blocks of ``BLOCK`` shingles overlap by one block; templates are cut into windows of the same length at every
-word. Each window has ``BANDS`` minima, each a band of its own; a text and a template that share a band value are a
-candidate. A template of more than ``TINY`` shingles shares a window of similarity 0.36 or more with a text that
-holds four fifths of its shingles, so it is retrieved with a probability over 0.999, and longer ones share many such
-windows. Candidates are then decided by exact containment of the template's shingles in the text's.
+freed of all but letters, marks and digits at both ends; what is left empty, as comment signs, is no word. A window
+of ``WINDOW`` shingles starts at every shingle of a text and of a template, and its minimum, one row, is a band. A text
+and a template that share a band value are a candidate. Of a template of more than ``TINY`` shingles, of which a text
+holds four fifths, ``WINDOW`` in a row are left whole wherever the others fell out, so both have a window of the very
+same shingles and the template is retrieved with certainty; more minima of each window would add nothing but cost.
+Candidates are then decided by exact containment of the template's shingles in the text's.
 
 Templates of up to ``TINY`` shingles, and those shorter than a shingle, are sought in windows of one shingle (of their
 own number of words, if that is less than five), whose minimum is the shingle itself: a text that holds four fifths
@@ -20,12 +20,10 @@ whatever their names.
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHINGLE, BANDS, TINY, BLOCK, MOST_BYTES = 5, 16, 5, 4, 16 << 20
+SHINGLE, WINDOW, TINY, MOST_BYTES = 5, 3, 5, 16 << 20
 #: Names and notices of public licenses.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
@@ -86,43 +84,21 @@ def _combined(hashes: str) -> Column:
     return F.when(n >= SHINGLE, _windows(hashes, SHINGLE)).when(n > 0, F.array(F.xxhash64(many))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _seeds() -> list[int]:
-    """One number for each band, from a fixed generator."""
-    rng = random.Random(707)
-    return [rng.getrandbits(63) for _ in range(BANDS)]
-
-
 def _lesser(a: Column, b: Column) -> Column:
-    return F.least(a, F.coalesce(b, a))
+    return F.least(a, b)  # passes over the null beyond a text's end
 
 
 def _minima(shingles: str) -> Column:
-    """The band values of all windows of two blocks; the last window may be shorter. Values of different bands are
-    kept apart by their last bits."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(shingles), F.lit(1)), F.lit(BLOCK))
-    return F.flatten(F.array(*(_band(F.col(shingles), starts, band, seed) for band, seed in enumerate(_seeds()))))
-
-
-def _band(s: Column, starts: Column, band: int, seed: int) -> Column:
-    """One band's values."""
-    least = F.transform(starts, lambda k: F.array_min(F.transform(F.slice(s, k, BLOCK), lambda x: x.bitwiseXOR(F.lit(seed)))))
-    windows = F.zip_with(least, F.slice(least, F.lit(2), F.greatest(F.size(least) - 1, F.lit(1))), _lesser)
-    return F.transform(windows, lambda v: _banded(v, band))
-
-
-def _banded(value: Column, band: int) -> Column:
-    return F.shiftleft(value, 4).bitwiseXOR(F.lit(band))
+    """The band values of all windows; those at the text's end are shorter."""
+    least = F.col(shingles)
+    for k in range(1, WINDOW):
+        least = F.zip_with(least, F.slice(shingles, F.lit(k + 1), F.greatest(F.size(shingles) - k, F.lit(0))), _lesser)
+    return least
 
 
-def _template_bands(sets: list[int]) -> set[int]:
-    """The same values for all windows of a template, at every shingle."""
-    out = set()
-    for band, seed in enumerate(_seeds()):
-        values = [x ^ seed for x in sets]
-        for k in range(max(1, len(values) - 2 * BLOCK + 1)):
-            v = min(values[k : k + 2 * BLOCK]) << 4 & (1 << 64) - 1
-            out.add((v - (1 << 64) if v >> 63 else v) ^ band)
-    return out
+def _template_bands(shingles: list[int]) -> set[int]:
+    """The same values for a template's windows."""
+    return {min(shingles[k : k + WINDOW]) for k in range(max(1, len(shingles) - WINDOW + 1))}
 
 
 def _once(value: Column) -> Column:
