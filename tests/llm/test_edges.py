@@ -93,6 +93,15 @@ def test_one_very_long_text(spark):
     assert len({r.ids_sha256 for r in ids}) == 2 and all(r.n_tokens > 30_000 for r in ids)
 
 
+def test_language_ties_and_a_very_long_text(spark):
+    """Equal profiles: the lesser name; equal counts: one order; a text of two million characters counts whole."""
+    train = spark.createDataFrame([("b", "the cat sat"), ("a", "the cat sat"), ("c", "un chat noir"), (None, "x"), ("d", None)], "lang string, text string")
+    profiles = language.fit(train)
+    docs = spark.createDataFrame([(1, "the cat sat"), (1, "the cat sat"), (2, "le chat noir " * 150_000), (3, "")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.lang_pred) for r in language.predict(docs, profiles).collect())
+    assert got == [(1, "a"), (1, "a"), (2, "c"), (3, "und")]
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
