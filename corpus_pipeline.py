@@ -2,6 +2,13 @@
 
 Each stage gets what its predecessor kept, as a DataFrame with the columns of documents, and its decisions take
 effect; the last one returns token counts and digests.
+
+Documents without a text, or with an empty one, fail the quality rules; a null language or source plays no part (rows
+without a language teach nothing); a null doc_id is an id like others and the last to stay in its group. Very long
+texts are judged, compared and encoded whole. Repeated rows and copies leave one row; of equal ids with different texts
+both stay. Further columns, whatever their names, pass through all stages but the last, which returns its own. Empty
+tables go through and give no rows; without test items nothing is removed; without labelled languages the language
+stage knows no language and keeps nothing.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidefold.llm import byte_bpe, decontaminate, language, near_dedup, repetition
-from tidefold.llm.shared import fresh_dir, table
+from tidefold.llm.shared import dropped, fresh_dir, table, temporary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; each stage is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; each stage is written to the shared folder and read again, and its tables between
+    and its predecessor's rows are removed."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = fresh_dir(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        before, path = path, fresh_dir(spark, name)
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            dropped(spark, before)
         docs = spark.read.parquet(path)
     return docs
