@@ -16,7 +16,7 @@ from tidefold.errors import CommitError, CommunicationError, ConfigError, Confli
 from tidefold.functions.ids import time_ordered_id
 from tidefold.functions.metrics import COUNTERS, Metrics, least_greatest_average, space_savings
 from tidefold.functions.retry import COMMIT, Backoff, retried
-from tidefold.functions.storage import filesystem_conf
+from tidefold.functions.storage import filesystem_conf, use_filesystem
 from tidefold.operators import merge
 from tidefold.operators.packing import pack
 from tidefold.plans.anchors import Anchor, MemoryAnchors, StoredAnchors
@@ -259,6 +259,8 @@ def test_stores(spark, tmp_path):
     kept = {}
     hooked = Store(spark, "s3a://bucket/t", lambda p, d: kept.setdefault(p, d) is d)
     hooked.create("s3a://bucket/t/x", b"1")
+    use_filesystem(spark, "s3a://bucket/t", endpoint="http://h:9000", access_key="k", secret_key="s")
+    assert spark.sparkContext._jsc.hadoopConfiguration().get("fs.s3a.endpoint") == "http://h:9000"
     with pytest.raises(ConflictError):
         hooked.create("s3a://bucket/t/x", b"2")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import SparkSession
+
 from tidefold.errors import ConfigError
 
 
@@ -22,3 +24,10 @@ def filesystem_conf(url: str, *, endpoint: str | None = None, region: str = "us-
     if scheme in ("file", "hdfs", "viewfs"):
         return {}
     raise ConfigError(f"no settings for {scheme}")
+
+
+def use_filesystem(spark: SparkSession, url: str, **settings: str) -> None:
+    """Make the settings of a path's scheme those of the running session's Hadoop file systems, for tables there."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for k, v in filesystem_conf(url, **settings).items():
+        conf.set(k.removeprefix("spark.hadoop."), v)
