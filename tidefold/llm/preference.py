@@ -91,6 +91,7 @@ SELECT conv_id, CAST(p AS INTEGER) AS n_prompt_turns,
   coalesce(string_agg(CASE WHEN role = 'assistant' THEN '-' || length(h) || ',+' || length(y) ELSE '-' || length(h || y) END, ',' ORDER BY k) FILTER (k > p), '') AS rejected_mask
 FROM r WHERE conv_id IS NOT NULL GROUP BY conv_id, p
 UNION ALL
-SELECT conv_id, CAST(0 AS INTEGER), '', CASE WHEN s = 1 THEN h || x ELSE '' END, CASE WHEN s = 2 THEN h || x ELSE '' END, CASE WHEN s = 1 THEN m ELSE '' END, CASE WHEN s = 2 THEN m ELSE '' END
-FROM (SELECT *, CASE WHEN role = 'assistant' THEN '-' || length(h) || ',+' || length(x) ELSE '-' || length(h || x) END AS m FROM r WHERE conv_id IS NULL), (VALUES (1), (2)) v(s)
+SELECT conv_id, CAST(0 AS INTEGER), '', CASE WHEN s = 1 THEN h || x ELSE '' END, CASE WHEN s = 2 THEN h || x ELSE '' END, CASE WHEN s = 1 THEN k ELSE '' END, CASE WHEN s = 2 THEN k ELSE '' END
+FROM (SELECT *, CASE WHEN role = 'assistant' THEN '-' || length(h) || ',+' || length(x) ELSE '-' || length(h || x) END AS k
+  FROM (SELECT conv_id, role, '<|' || coalesce(role, '') || '|>' || chr(10) AS h, coalesce(a, '') || '<|end|>' || chr(10) AS x FROM t WHERE conv_id IS NULL)), (VALUES (1), (2)) v(s)
 """
