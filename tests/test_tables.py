@@ -230,6 +230,21 @@ def test_failures_are_reported(spark, tmp_path):
     assert t.metrics.get("tasks_failed") == 2
 
 
+def test_deletes_between_plan_and_commit(spark, tmp_path):
+    """Later equality deletes still aim at the new files; later position deletes of an input stop the commit."""
+    t = Table.create(spark, str(tmp_path / "t"), spark.range(1).schema)
+    t.append(spark.range(10).coalesce(1))
+    t.append(spark.range(10, 20).coalesce(1))
+    one, two = (t.execute(x) for x in t.tasks(t.plan(Strategy.FULL, PlanningConfig(bin_pack_bytes=1))))
+    t.append(spark.createDataFrame([(3,), (13,)], "id long").coalesce(1), "equality_deletes", [1])
+    t.append(spark.createDataFrame([(two.removed[0].path, 0)], "file_path string, pos long").coalesce(1), "position_deletes")
+    want = sorted(r.id for r in t.read().collect())
+    with pytest.raises(CommitError, match="position deletes"):
+        t.commit([one, two], t.version)
+    assert t.commit([one], t.version).tasks_committed == 1
+    assert sorted(r.id for r in t.read().collect()) == want and len(want) == 17
+
+
 def test_log_checkpoints_and_expiry(spark, tmp_path):
     t = Table.create(spark, str(tmp_path / "t"), spark.range(1).schema)
     for k in range(11):

@@ -158,6 +158,8 @@ class Result:
     rows_out: int = 0
     elapsed_ms: int = 0
     error: str = ""
+    #: The version that the task was planned with: later deletes are not applied.
+    version: int | None = None
 
     @property
     def outputs(self) -> str:

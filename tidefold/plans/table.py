@@ -256,7 +256,7 @@ class Table:
             self.metrics.add("bytes_written", sum(f.size for f in added))
             self.metrics.add("files_written", len(added))
             self.metrics.add("rows_processed", sum(f.rows for f in added))
-            return Result(task.task_id, "Success", group.data, tuple(added), sum(f.rows for f in group.data), sum(f.rows for f in added), took())
+            return Result(task.task_id, "Success", group.data, tuple(added), sum(f.rows for f in group.data), sum(f.rows for f in added), took(), version=task.version)
         except Exception as e:  # noqa: BLE001  a failed task is a row of the results
             self.metrics.add("tasks_failed")
             return Result(task.task_id, "Failed", group.data, elapsed_ms=took(), error=f"{type(e).__name__}: {str(e)[:2000]}")
@@ -279,7 +279,8 @@ class Table:
         gone, new = {f.path for f in removed}, {f.path for f in added}
         if len(gone) != len(removed):
             raise CommitError("two results remove the same file")
-        known = {f.path for f in self.state(base).files}
+        # What the tasks knew, whatever the caller takes for the base.
+        known = {f.path for f in self.state(min([base, *(r.version for r in good if r.version is not None)])).files}
 
         def change(state: State, at: int) -> tuple[list[File], list[str], StructType]:
             live = {f.path for f in state.files}
