@@ -50,6 +50,11 @@ def test_sorted_order(spark):
     assert rows == sorted(sorted(rows, key=lambda r: r[1]), key=lambda r: r[0], reverse=True)
 
 
+def test_shuffle_join_is_never_a_broadcast(spark):
+    plan = q.mor_shuffle_join(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Broadcast" not in plan
+
+
 def test_packing():
     items = [30, 40, 50, 20, 10]
     assert pack(items, 100) == [1, 0, 0, 1, 1]

@@ -113,7 +113,7 @@ def mor_inline_deletes(s, d):
 
 def mor_shuffle_join(s, d):
     e = _events(s, d)
-    return merge.merge_on_read(e, COLS, equality=[(["event_id"], _eq(e).hint("merge"))])
+    return merge.merge_on_read(e, COLS, equality=[(["event_id"], _eq(e))], shuffle=True)
 
 
 def mor_sorted(s, d):
