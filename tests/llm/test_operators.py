@@ -107,6 +107,46 @@ def test_near_duplicates_equal_brute_force(spark, texts, small, monkeypatch):
     assert got == components(more, 4)
 
 
+@pytest.mark.parametrize("listed", [0, 1 << 30])
+def test_large_buckets_list_pairs_or_members(spark, monkeypatch, listed):
+    """One family of texts around the threshold, in blocks only: 0 deals members with their sets, the other lists pairs."""
+    monkeypatch.setattr(near_dedup, "SMALL", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", 8)
+    monkeypatch.setattr(near_dedup, "LISTED", listed)
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(120)]
+    texts = {i: " ".join(w if rng.random() > share else f"{w}x{i}" for w in base) for i, share in enumerate(np.linspace(0, 0.06, 60))}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), shingle=4).collect()}
+    assert got == components(texts, 4)
+    assert 1 < len({c for _, c in got.values()}) < len(texts)
+
+
+def test_shingles_are_moved_for_pairs_in_question_only(spark, monkeypatch):
+    """Texts that share a third of their shingles meet in buckets; their sizes and registers rule out a link."""
+    rows, real = {}, near_dedup.written
+
+    def counted(df, name, *more):
+        out = real(df, name, *more)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    half = " ".join(f"s{k}" for k in range(100))
+    texts = {i: half + " " + " ".join(f"t{i}x{k}" for k in range(100)) for i in range(40)} | {100: "a b c d e f g", 101: "a b c d e f g h"}
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), shingle=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i for i in range(40)} | {100: 100, 101: 100}
+    assert rows["members"] > 40 and rows["sets"] == 2
+
+
+def test_marks_never_hide_a_shared_shingle():
+    rng = np.random.default_rng(3)
+    for spread in (10, 17, 40, 63):  # of few bits, and of bits above the marks
+        a, b = (np.unique(rng.integers(0, 1 << spread, n).astype(np.uint64) << np.uint64(63 - spread)) for n in (700, 900))
+        b = np.unique(np.concatenate((b, a[::3])))
+        assert columnar.overlap(a, b) <= near_dedup.shared_marks(near_dedup.marks(a), near_dedup.marks(b)) <= min(len(a), len(b))
+    assert near_dedup.shared_marks(near_dedup.marks(a), near_dedup.marks(a)) == len(a)
+
+
 def test_dedup_keeps_one_of_each_group(spark, odd):
     kept = near_dedup.deduplicated(odd)
     assert kept.columns == odd.columns

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,10 +68,10 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def lean(df: DataFrame) -> DataFrame:
-    """The frame in a session of the operators' own, with the caller's settings and LEAN; the caller's session stays
-    as it is. Frames of both sessions can be joined."""
-    own = twin(df.sparkSession, LEAN)
+def lean(df: DataFrame, more: Mapping[str, str] | None = None) -> DataFrame:
+    """The frame in a session of the operators' own, with the caller's settings, LEAN and ``more``; the caller's session
+    stays as it is. Frames of both sessions can be joined."""
+    own = twin(df.sparkSession, LEAN | dict(more or {}))
     rows = own.sparkContext._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.queryExecution().analyzed())
     return DataFrame(rows, own)
 
